@@ -17,6 +17,20 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photolake.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from photolake.llm.token_ids import tokenize
+
+    return tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photolake.llm.decontaminate import contamination
 
