@@ -8,7 +8,7 @@ with it next, by looking the position up in the document, and the run of matches
 grown as far as it goes: a run of a window's length is an exact phrase match, and every such run holds
 a leading position, so none is missed. Only postings of benchmark terms leave the scan.
 
-The benchmark's side is broadcast if its counted size allows, else joined by term through a shuffle.
+The benchmark's side, and the matched postings, are broadcast if their counted size allows, else joined through a shuffle.
 
 Defined results: null or wordless texts have no words, hits or items; rows with the same id and text get the
 same result, rows with the same id and other texts their own; items without id or words take no part;
@@ -60,55 +60,74 @@ def leading_terms(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     )
 
 
-def postings(docs: DataFrame, lead: DataFrame, n_lead: int) -> DataFrame:
-    """The postings of the leading terms, each with its leading positions and its document's words ``toks``."""
-    toks = _rows(docs).select("doc_id", "h", words(F.col("text")).alias("toks"))
-    placed = toks.select("doc_id", "h", "toks", F.posexplode("toks").alias("q", "term"))
-    near = small(lead, n_lead, 4096)
-    if near is not lead:
-        return placed.join(near, "term")
-    # too large to broadcast: lists meet by term in a shuffle, and only the matched ones fetch their document
-    met = placed.select("doc_id", "h", "q", "term").join(lead, "term").withColumnRenamed("doc_id", "d").withColumnRenamed("h", "k")
-    return met.join(toks.distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).drop("d", "k")
+def postings(docs: DataFrame, lead: DataFrame) -> DataFrame:
+    """The postings (doc_id, h, q, prev, next) of the leading terms, with the leading positions each may be.
 
+    ``prev`` and ``next`` are the words around word q: entries q - 1 and q + 1 of the lists next to it.
+    """
+    toks = _rows(docs).select("doc_id", "h", words(F.col("text")).alias("term"))
+    edge = F.array(F.lit(""))
+    lists = toks.select("doc_id", "h", "term", F.concat(edge, "term").alias("prev"), F.concat(F.expr("slice(term, 2, size(term))"), edge).alias("next"))
+    around = lists.where(F.size("term") > 0).select("doc_id", "h", F.posexplode(F.arrays_zip("term", "prev", "next")).alias("q", "at"))
+    placed = around.select("doc_id", "h", "q", "at.term", "at.prev", "at.next")
+    return placed.join(small(lead, lead.count(), 1024), "term")
 
-def _run(item: str, doc: str) -> Column:
+
+def _looked_up(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (doc_id, h, toks, found) of ``docs``; found: what its postings have, or null."""
+    lists = stored(found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_set(F.struct("item_id", "q", "term", "need", "back", "ahead")).alias("found")), "postings")
+    n, most = lists.agg(F.count("*"), F.sum(F.size("found"))).first()
+    rows = _rows(docs).select("doc_id", "h", words(F.col("text")).alias("toks"))
+    return rows.join(small(lists, (most or 0) + n, 1024), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left").drop("d", "k")
+
+
+def _run(item: Column, doc: Column) -> Column:
     """Length of the common start of two arrays."""
-    same = F.zip_with(item, F.expr(doc), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
+    other = F.array_position(F.zip_with(item, doc, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    return F.when(other > 0, other - 1).otherwise(F.greatest(F.size(item), F.size(doc))).cast("int")
 
 
-def phrase_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Exact phrase matches: (doc_id, h, item_id, first, last), word positions of runs of a window or more."""
+def _phrases(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """(doc_id, h, toks, runs): the runs (item_id, first, last) of a window or more, an array, null without postings."""
     lead = stored(leading_terms(docs, bench, window), "leading")
-    met = postings(docs, lead, lead.count())
     # the nearest lists first: a run of two words or more has one of the neighbours
-    met = met.where("need = 1 or get(toks, q + 1) = get(ahead, 0) or (q > 0 and get(toks, q - 1) = get(back, 0))")
-    back = _run("back", f"reverse(slice(toks, greatest(q - {window - 2}, 1), least(q, {window - 1})))")
-    ahead = _run("ahead", f"slice(toks, q + 2, {window - 1})")
-    return met.select("doc_id", "h", "item_id", "q", "need", back.alias("l"), ahead.alias("r")).where("l + r + 1 >= need").select("doc_id", "h", "item_id", F.expr("q - l").alias("first"), F.expr("q + r").alias("last")).distinct()
+    met = postings(docs, lead).where("need = 1 or next = get(ahead, 0) or prev = get(back, 0)")
+
+    def grown(x: Column) -> Column:
+        q = x["q"]
+        left = F.reverse(F.slice("toks", F.greatest(q - (window - 2), F.lit(1)), F.least(q, F.lit(window - 1))))
+        right = F.slice("toks", q + 2, F.lit(window - 1))
+        return F.struct(x["item_id"].alias("item_id"), x["need"].alias("need"), (q - _run(x["back"], left)).alias("first"), (q + _run(x["ahead"], right)).alias("last"))
+
+    rows = _looked_up(docs, met).withColumn("runs", F.transform("found", grown))
+    return rows.select("doc_id", "h", F.size("toks").cast("long").alias("n_words"), F.filter("runs", lambda r: r["last"] - r["first"] + 1 >= r["need"]).alias("runs"))
+
+
+def phrase_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Exact phrase matches: (doc_id, h, item_id, first, last), word positions of runs of a window or more."""
+    return _phrases(docs, bench, window).select("doc_id", "h", F.explode("runs").alias("r")).select("doc_id", "h", "r.item_id", "r.first", "r.last").distinct()
 
 
 def proximity_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, least: int = 11) -> DataFrame:
     """Proximity matches: (doc_id, h, item_id, q, terms) where ``least`` distinct words around an item's leading
     position are also within ``window`` - 1 words of its posting in the document, in any order."""
     lead = stored(leading_terms(docs, bench, window), "leading")
-    met = postings(docs, lead, lead.count())
-    around = F.expr(f"array_distinct(slice(toks, greatest(q - {window - 2}, 1), q - greatest(q - {window - 2}, 1) + {window + 1}))")
-    both = F.size(F.array_intersect(around, F.concat("back", F.array("term"), "ahead")))
-    return met.select("doc_id", "h", "item_id", "q", both.alias("terms")).where(F.col("terms") >= least).distinct()
+
+    def near(x: Column) -> Column:
+        start = F.greatest(x["q"] - (window - 2), F.lit(1))
+        around = F.slice("toks", start, x["q"] - start + window + 1)
+        return F.struct(x["item_id"].alias("item_id"), x["q"].alias("q"), F.size(F.array_intersect(around, F.concat(x["back"], F.array(x["term"]), x["ahead"]))).alias("terms"))
+
+    rows = _looked_up(docs, postings(docs, lead)).select("doc_id", "h", F.explode(F.transform("found", near)).alias("r"))
+    return rows.select("doc_id", "h", "r.item_id", "r.q", "r.terms").where(F.col("terms") >= least).distinct()
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: doc_id, h (its text's hash), n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = phrase_matches(docs, bench, window).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    rows = _phrases(docs, bench, window)
     hit = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["first"], x["last"])))))
-    found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), hit.cast("long").alias("hit"), "items")
-    rows = _rows(docs).select("doc_id", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    n_hit = F.coalesce("hit", F.lit(0))
-    return out.select("doc_id", "h", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    rows = rows.select("doc_id", "h", "n_words", F.when(F.size("runs") > 0, hit).otherwise(0).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.transform(F.coalesce("runs", F.array()), lambda x: x["item_id"]))).alias("items"))
+    return rows.select("doc_id", "h", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
