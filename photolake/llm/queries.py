@@ -46,6 +46,14 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from photolake.llm.secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photolake.llm.decontaminate import contamination
 
@@ -86,6 +94,12 @@ FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = s.do
 """
 
 
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photolake.llm.private_data import find_private
+
+    return find_private(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
 
