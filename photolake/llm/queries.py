@@ -32,6 +32,12 @@ FROM p QUALIFY rank <= 10
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photolake.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("h")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photolake.llm.mixing import mix
 
