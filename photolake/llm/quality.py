@@ -129,10 +129,10 @@ def gram_log_probabilities(counts: DataFrame) -> DataFrame:
         context = F.shiftrightunsigned("g", 16)
         n = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
         d = table.groupBy("lang").agg(*n)
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
         def step(i: int, y: Column = y) -> Column:
-            value = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+            value = i - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}"))
             return F.coalesce(F.when((value > 0) & (value < i), value), F.lit(i / 2)).alias(f"d{i}")
 
         d = d.select("lang", step(1), step(2), step(3))
@@ -192,7 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> Data
     """Per row: doc_id, h, lang, units, perplexity (of a unit), threshold (its language's), kept."""
     rows = stored(score(docs, labels), "scores")
     held = rows.where("held and logp is not null")
-    usual = held.groupBy(F.col("lang").alias("u")).agg((-F.sum("logp") / F.sum("units")).alias("usual"))
+    usual = held.groupBy(F.col("lang").alias("u")).agg(F.try_divide(-F.sum("logp"), F.sum("units")).alias("usual"))
     rows = rows.join(F.broadcast(usual), F.col("lang") == F.col("u"), "left")  # a row for each language code
     rows = rows.withColumn("perplexity", F.exp((PRIOR_UNITS * F.col("usual") - F.col("logp")) / (F.col("units") + PRIOR_UNITS)))
     at = F.percentile_approx("perplexity", list(QUANTILES), 100_000)
