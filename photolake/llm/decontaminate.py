@@ -8,7 +8,7 @@ with it next, by looking the position up in the document, and the run of matches
 grown as far as it goes: a run of a window's length is an exact phrase match, and every such run holds
 a leading position, so none is missed. Only postings of benchmark terms leave the scan.
 
-The benchmark's side, and the matched postings, are broadcast if their counted size allows, else joined through a shuffle.
+The benchmark's side is broadcast if its counted size allows, else joined by term through a shuffle.
 
 Defined results: null or wordless texts have no words, hits or items; rows with the same id and text get the
 same result, rows with the same id and other texts their own; items without id or words take no part;
@@ -75,10 +75,10 @@ def postings(docs: DataFrame, lead: DataFrame) -> DataFrame:
 
 def _looked_up(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (doc_id, h, toks, found) of ``docs``; found: what its postings have, or null."""
-    lists = stored(found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_set(F.struct("item_id", "q", "term", "need", "back", "ahead")).alias("found")), "postings")
-    n, most = lists.agg(F.count("*"), F.sum(F.size("found"))).first()
-    rows = _rows(docs).select("doc_id", "h", words(F.col("text")).alias("toks"))
-    return rows.join(small(lists, (most or 0) + n, 1024), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left").drop("d", "k")
+    lists = found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_set(F.struct("item_id", "q", "term", "need", "back", "ahead")).alias("found"))
+    # matched postings grow with the corpus: always a shuffle, of texts rather than of their words
+    met = _rows(docs).join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
+    return met.select("doc_id", "h", words(F.col("text")).alias("toks"), "found")
 
 
 def _run(item: Column, doc: Column) -> Column:
