@@ -162,6 +162,40 @@ class FastSketch:
         return best
 
 
+def sketch_rows(items: np.ndarray, rows: np.ndarray, n_rows: int, t: int, seed: int = 1) -> np.ndarray:
+    """``FastSketch`` of many rows at once, for rows of a few hundred items: (n_rows, t). ``rows`` says whose item it is."""
+    seeds = FastSketch(t, seed).seeds
+    none = np.iinfo(np.uint64).max
+    best = np.full(n_rows * t, none, np.uint64)
+    base = rows.astype(np.int64) * t
+    for i in range(2 * t):
+        h = mix(items ^ seeds[i])
+        values = (h & np.uint64(0xFFFFFFFF)) | (np.uint64(i) << np.uint64(32))
+        bins = (((h >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)).astype(np.int64) if i < t else i - t
+        np.minimum.at(best, base + bins, values)
+        lacking = (best.reshape(n_rows, t) == none).any(axis=1)
+        keep = lacking[base // t]
+        if not keep.any():
+            break
+        items, base = items[keep], base[keep]
+    return best.reshape(n_rows, t)
+
+
+def band_table(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """``band_keys`` of each sketch: (n, bands)."""
+    cells = sketches[:, : bands * rows].reshape(len(sketches), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sketches), bands))
+    for r in range(rows):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, r])
+    return key
+
+
+def runs(key: np.ndarray) -> np.ndarray:
+    """For sorted keys: the index of the first entry with the same key."""
+    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    return np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
+
+
 def plan_bands(threshold: float, bands: int, miss: float = 1e-6, most_rows: int = 8) -> int:
     """Rows per band: the most for which a pair at ``threshold`` shares no band with chance ``miss`` at most."""
     return max([r for r in range(1, most_rows + 1) if (1 - threshold**r) ** bands <= miss], default=1)

@@ -101,10 +101,15 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, labels: list[int] | No
     return groups
 
 
-def _resolver(width: int, num: int, den: int):
+def word_sets(width: int):
+    """How a batch's texts become sets: their word shingles."""
+    return lambda batch: _sets(batch, width)
+
+
+def _resolver(make, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        sets = [s for batch in text_slices(table.to_batches()) for s in _sets(batch, width)]
+        sets = [s for batch in text_slices(table.to_batches()) for s in make(batch)]
         ids = table.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         groups = link_sets([sets[i] for i in order], num, den)
@@ -114,7 +119,7 @@ def _resolver(width: int, num: int, den: int):
     return run
 
 
-def _block_linker(width: int, num: int, den: int):
+def _block_linker(make, num: int, den: int):
     """Of a block of members and its component's pivots: a spanning forest of the links found."""
 
     def run(key, members: pa.Table, pivots: pa.Table) -> pa.Table:
@@ -122,7 +127,7 @@ def _block_linker(width: int, num: int, den: int):
         if not members.num_rows or not pivots.num_rows:
             return empty
         both = pa.concat_tables([t.select(["doc_id", "text", "label"]) for t in (pivots, members)]).combine_chunks()
-        sets = [s for batch in text_slices(both.to_batches()) for s in _sets(batch, width)]
+        sets = [s for batch in text_slices(both.to_batches()) for s in make(batch)]
         ids, labels = both.column("doc_id").to_pylist(), both.column("label").to_pylist()
         before = UnionFind(len(ids))
         first: dict[int, int] = {}
@@ -136,7 +141,7 @@ def _block_linker(width: int, num: int, den: int):
     return run
 
 
-def _settle_large(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _settle_large(members: DataFrame, make, num: int, den: int) -> DataFrame:
     """(rep, component_id) of components too large for one task: members has doc_id, text, comp, n_shingles."""
     sizes = members.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / TASK_SHINGLES).alias("blocks"))
     members = stored(members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))), "members")
@@ -160,13 +165,24 @@ def _settle_large(members: DataFrame, width: int, num: int, den: int) -> DataFra
             continue
         pivots = chosen.join(members.select("doc_id", "text"), "doc_id").select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id", "text", "label")
         parts = members.join(state.select("doc_id", "label"), "doc_id").select("comp", "block", "doc_id", "text", "label")
-        found = parts.groupBy("comp", "block").cogroup(pivots.groupBy("comp", "block")).applyInArrow(_block_linker(width, num, den), "a long, b long")
+        found = parts.groupBy("comp", "block").cogroup(pivots.groupBy("comp", "block")).applyInArrow(_block_linker(make, num, den), "a long, b long")
         merged = components(found).withColumnRenamed("node", "label")
         state = state.join(chosen.select("doc_id", F.lit(True).alias("now")), "doc_id", "left").join(merged, "label", "left")
         state = stored(state.select("comp", "blocks", "doc_id", "n_shingles", F.coalesce("component", "label").alias("label"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")), "state")
     return state.select(F.col("doc_id").alias("rep"), F.col("label").alias("component_id"))
 
 
+def settle(texts: DataFrame, make, num: int, den: int) -> DataFrame:
+    """(rep, component_id): components by exact links inside each candidate component; texts: doc_id, comp, text, n_shingles (stored)."""
+    heavy = texts.groupBy("comp").agg(F.sum("n_shingles").alias("total")).where(F.col("total") > TASK_SHINGLES).select("comp")
+    heavy = stored(heavy, "heavy")
+    light = texts.join(heavy, "comp", "left_anti").select("comp", "doc_id", "text")
+    settled = light.groupBy("comp").applyInArrow(_resolver(make, num, den), "rep long, component_id long")
+    if heavy.limit(1).count():
+        settled = settled.union(_settle_large(texts.join(heavy, "comp", "left_semi"), make, num, den))
+    return settled
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 100, bands: int = BANDS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -184,14 +200,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     wanted = stored(rep.select("rep", "k1", "k2", "n_shingles").join(loose, "rep"), "wanted")
     n = wanted.count()
     texts = docs.join(small(wanted.select("rep", "comp").distinct(), n, 64), F.col("doc_id") == F.col("rep"))
-    sizes = wanted.groupBy("comp").agg(F.sum("n_shingles").alias("total"))
-    heavy = sizes.where(F.col("total") > TASK_SHINGLES)
     texts = stored(texts.groupBy("doc_id", "comp", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).join(wanted.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles")), F.col("doc_id") == F.col("rep")).select("doc_id", "comp", "text", "n_shingles"), "texts")
-    light = texts.join(heavy, "comp", "left_anti").select("comp", "doc_id", "text")
-    settled = light.groupBy("comp").applyInArrow(_resolver(width, num, den), "rep long, component_id long")
-    if heavy.limit(1).count():
-        settled = settled.union(_settle_large(texts.join(heavy, "comp", "left_semi"), width, num, den))
-    settled = settled.groupBy("rep").agg(F.min("component_id").alias("component_id"))
+    settled = settle(texts, word_sets(width), num, den).groupBy("rep").agg(F.min("component_id").alias("component_id"))
     out = member.join(settled, "rep", "left")
     component = F.coalesce("component_id", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -60,6 +60,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from photolake.llm.line_dedup import repeated_lines
+
+    return repeated_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photolake.llm.decontaminate import contamination
 
