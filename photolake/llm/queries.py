@@ -114,6 +114,15 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(_table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from photolake.llm.passages import repeated_passages
+
+    text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"))), ","), F.lit(""))
+    return repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", "n_dropped", text("spans").alias("spans"), text("dropped").alias("dropped"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
 
