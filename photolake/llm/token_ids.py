@@ -31,8 +31,11 @@ END = 0
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, shard int, shard_start long, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20)}
-#: Distinct pieces whose ids a task remembers; only speed depends on it.
-CACHE = 400_000
+#: Distinct pieces whose ids a worker remembers; only speed depends on it.
+CACHE = 600_000
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pieces that are encoded as one text, a newline after each.
+JOINED = 2000
 
 
 class Encoder:
@@ -43,17 +46,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.cache: dict[str, list[int]] = {}
-
-    def _lists(self, pieces: list[str]) -> list[list[int]]:
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        known = self.cache
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return [known[p] for p in pieces]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and lengths of texts, in order."""
+        out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.fromiter((i for x in out for i in x), np.int32)], [np.fromiter(map(len, out), np.int64, len(out))]
+
+    def _learn(self, pieces: list[str]) -> None:
+        new = [p for p in dict.fromkeys(pieces) if p not in self.index]
+        # a newline between two pieces is a token of its own, unless white space touches it
+        plain = [p for p in new if p and not p[-1].isspace() and not p.lstrip(" ")[0].isspace() and "\n" not in p and SPECIAL not in p] if self.line is not None else []
+        known = set(plain)
+        rest = [p for p in new if p not in known]
+        flat, lengths = [self.flat], [self.lengths]
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(part):
+                flat.append(ids[ids != self.line])
+                lengths.append(np.diff(np.concatenate(([-1], ends))) - 1)
+            else:
+                more = self._encoded(part)
+                flat += more[0]
+                lengths += more[1]
+        more = self._encoded(rest)
+        for p in plain + rest:
+            self.index[p] = len(self.index)
+        self.flat, self.lengths = np.concatenate(flat + more[0]), np.concatenate(lengths + more[1])
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """A piece and the marks at its end, which are a word of their own to the pre-tokenizer."""
+        core = piece.rstrip(MARKS)
+        return (core, piece[len(core) :]) if core and not core[-1].isspace() else (piece, "")
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the ends, and row offsets (rows + 1)."""
@@ -78,31 +111,52 @@ class Encoder:
         heads = coded.dictionary.take(pa.array(codes[first & keep])).to_pylist()
         whole = texts.filter(pa.array(slow)).to_pylist()
         codes[first & keep] = len(pieces) + np.arange(len(heads))
-        codes = codes[keep]
-        row = row[keep]
+        codes, row = codes[keep], row[keep]
         slow_rows = np.flatnonzero(slow)
         places = np.searchsorted(row, slow_rows)
         codes = np.insert(codes, places, len(pieces) + len(heads) + np.arange(len(whole)))
         row = np.insert(row, places, slow_rows)
         used = np.zeros(len(pieces) + len(heads) + len(whole), bool)
         used[codes] = True
-        names = [" " + p if u else "" for p, u in zip(pieces, used[: len(pieces)], strict=True)] + heads
-        ids = self._lists(names) + [e.ids for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))))
-        out = table.take(pa.array(codes)).flatten().to_numpy(zero_copy_only=False)
-        per_row = np.bincount(row, weights=lengths[codes], minlength=n).astype(np.int64)
-        ends = np.cumsum(per_row)
+        if len(self.index) > CACHE:
+            self._forget()
+        pairs = [self._parts(" " + p) if u else ("", "") for p, u in zip(pieces, used[: len(pieces)], strict=True)] + [self._parts(p) for p in heads]
+        cores, tails = [c for c, _ in pairs], [t for _, t in pairs]
+        self._learn(cores + tails)
+        known = len(self.lengths)
+        parts = np.empty((len(used), 2), np.int64)
+        parts[: len(pairs), 0] = np.fromiter(map(self.index.__getitem__, cores), np.int64, len(pairs))
+        parts[: len(pairs), 1] = np.fromiter(map(self.index.__getitem__, tails), np.int64, len(pairs))
+        parts[len(pairs) :, 0] = known + np.arange(len(whole))
+        parts[len(pairs) :, 1] = known + len(whole)  # nothing
+        more = self._encoded(whole)
+        lengths = np.concatenate((self.lengths, more[1][0], [0]))
+        ids = np.concatenate((self.flat, more[0][0]))
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(ids))
+        out = table.take(pa.array(parts[codes].ravel())).flatten().to_numpy(zero_copy_only=False)
+        per_piece = lengths[parts].sum(axis=1)
+        ends = np.cumsum(np.bincount(row, weights=per_piece[codes], minlength=n).astype(np.int64))
         return np.insert(out, ends, END), np.concatenate(([0], ends + np.arange(1, n + 1)))
 
 
+def worker_encoder(spec: str) -> Encoder:
+    """The encoder of this Python worker, which Spark uses again for later tasks."""
+    import tokenizers
+
+    key, encoder = getattr(tokenizers, "_photolake_encoder", (None, None))
+    if key != spec:
+        encoder = Encoder(spec)
+        tokenizers._photolake_encoder = (spec, encoder)
+    return encoder
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Encode ``docs`` (doc_id, text) with the tokenizers file ``tokenizer`` into ORC files at ``path``."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, a few MB whatever the data
 
     def run(batches):
-        encode, at = Encoder(spec.value), 0
+        encode, at = worker_encoder(spec.value), 0
         shard = TaskContext.get().partitionId()
         for batch in text_slices(batches):
             ids, offsets = encode(batch.column("text"))
