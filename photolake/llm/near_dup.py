@@ -205,3 +205,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     out = member.join(settled, "rep", "left")
     component = F.coalesce("component_id", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without those in a group that another document stands for; all columns stay.
+
+    Rows that repeat an id stay together: of equal rows of the kept document one stays.
+    """
+    found = near_duplicates(docs, width, num, den)
+    gone = stored(found.where("not kept").select(F.col("doc_id").alias("_d")).distinct(), "duplicates")
+    rest = docs.join(small(gone, gone.count(), 24), docs["doc_id"].cast("long") == F.col("_d"), "left_anti")
+    again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_d")), "repeated")
+    n = again.count()
+    if not n:
+        return rest
+    again = small(again, n, 24)
+    same = rest["doc_id"] == F.col("_d")
+    return rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

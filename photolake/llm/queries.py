@@ -124,7 +124,9 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
