@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most so many bytes (counted before, never guessed) may be broadcast.
 BROADCAST_BYTES = 24 << 20
+#: Entries of an array that numpy works on at a time where many passes follow.
+CACHED = 1 << 16
 #: Text bytes that one numpy pass holds at a time.
 SLICE_BYTES = 8 << 20
 
@@ -167,17 +169,21 @@ def sketch_rows(items: np.ndarray, rows: np.ndarray, n_rows: int, t: int, seed:
     seeds = FastSketch(t, seed).seeds
     none = np.iinfo(np.uint64).max
     best = np.full(n_rows * t, none, np.uint64)
-    base = rows.astype(np.int64) * t
+    active = np.unique(rows)
     for i in range(2 * t):
-        h = mix(items ^ seeds[i])
-        values = (h & np.uint64(0xFFFFFFFF)) | (np.uint64(i) << np.uint64(32))
-        bins = (((h >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)).astype(np.int64) if i < t else i - t
-        np.minimum.at(best, base + bins, values)
-        lacking = (best.reshape(n_rows, t) == none).any(axis=1)
-        keep = lacking[base // t]
-        if not keep.any():
+        for at in range(0, len(items), CACHED):  # arrays that stay in the processor's cache
+            part, base = items[at : at + CACHED], rows[at : at + CACHED] * t
+            h = mix(part ^ seeds[i])
+            values = (h & np.uint64(0xFFFFFFFF)) | (np.uint64(i) << np.uint64(32))
+            bins = (((h >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)).astype(np.int64) if i < t else i - t
+            np.minimum.at(best, base + bins, values)
+        active = active[(best.reshape(n_rows, t)[active] == none).any(axis=1)]
+        if not len(active):
             break
-        items, base = items[keep], base[keep]
+        lacking = np.zeros(n_rows, bool)
+        lacking[active] = True
+        keep = lacking[rows]
+        items, rows = items[keep], rows[keep]
     return best.reshape(n_rows, t)
 
 

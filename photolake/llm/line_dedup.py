@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolake.llm.common import band_table, components, mix, runs, sketch_rows, small, stored, text_slices
+from photolake.llm.common import CACHED, band_table, components, mix, runs, sketch_rows, small, stored, text_slices
 from photolake.llm.near_dup import settle
 
 WIDTH = 8
@@ -46,15 +46,22 @@ def line_ids(text: str) -> tuple[list[int], list[str]]:
 
 def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles (with repeats) and the line each is of."""
-    units = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    units = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    full = np.empty(max(0, len(units) - WIDTH + 1), np.uint64)
+    for at in range(0, len(full), CACHED):
+        # pairs, fours, eights
+        x = units[at : at + CACHED + WIDTH - 1].astype(np.uint64)
+        for step in (1, 2, 4):
+            x = x[:-step] * np.uint64(0x9E3779B97F4A7C15) + (x[step:] ^ (x[step:] >> np.uint64(29)))
+        full[at : at + CACHED] = mix(x)
+    counts = np.maximum(lengths - WIDTH + 1, 0)
+    # the last WIDTH - 1 places of a line have no whole shingle
+    inside = np.ones(len(units), bool)
     ends = np.cumsum(lengths)
-    full = np.zeros(max(0, len(units) - WIDTH + 1), np.uint64)
-    for i in range(WIDTH):
-        full = full * np.uint64(0x9E3779B97F4A7C15) + units[i : i + len(full)]
-    row = np.repeat(np.arange(len(lines)), lengths)
-    inside = np.arange(len(units)) + WIDTH <= ends[row]
-    items, rows = mix(full)[inside[: len(full)]], row[: len(full)][inside[: len(full)]]
+    for back in range(1, WIDTH):
+        inside[(ends - back)[lengths >= back]] = False
+    items, rows = full[inside[: len(full)]], np.repeat(np.arange(len(lines)), counts)
     short = np.flatnonzero(lengths < WIDTH)
     own = np.array([xxhash.xxh64_intdigest(lines[i].encode(), 7) for i in short], np.uint64)
     return np.concatenate((items, own)), np.concatenate((rows, short))

@@ -87,7 +87,6 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, labels: list[int] | No
         if pivots is None and done >= 4:
             common = np.bincount(roots).argmax()
             todo = [i for i in todo if roots[i] != common]
-            todo.sort(key=lambda i: -np.count_nonzero(roots == roots[i]) if n < 64 else 0)
             if not todo:
                 break
         p = todo.pop()
@@ -107,14 +106,25 @@ def word_sets(width: int):
 
 
 def _resolver(make, num: int, den: int):
+    """Of a bucket of whole components (comp, doc_id, text): each member with the least one it's linked to."""
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        table = table.sort_by([("comp", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        comps, ids = table.column("comp").to_numpy(), table.column("doc_id").to_numpy()
         sets = [s for batch in text_slices(table.to_batches()) for s in make(batch)]
-        ids = table.column("doc_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        groups = link_sets([sets[i] for i in order], num, den)
-        roots = [ids[order[groups.find(i)]] for i in range(len(order))]
-        return pa.table({"rep": pa.array(ids[order]), "component_id": pa.array(roots, pa.int64())})
+        roots = ids.copy()
+        cuts = np.flatnonzero(np.concatenate(([True], comps[1:] != comps[:-1], [True])))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a == 2:
+                x, y = sets[a], sets[a + 1]
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if num * max(len(x), len(y)) <= den * min(len(x), len(y)) else 0
+                if shared and den * shared >= num * (len(x) + len(y) - shared):
+                    roots[a + 1] = ids[a]
+            else:
+                groups = link_sets(sets[a:b], num, den)
+                for i in range(b - a):
+                    roots[a + i] = ids[a + groups.find(i)]
+        return pa.table({"rep": pa.array(ids), "component_id": pa.array(roots)})
 
     return run
 
@@ -177,7 +187,9 @@ def settle(texts: DataFrame, make, num: int, den: int) -> DataFrame:
     heavy = texts.groupBy("comp").agg(F.sum("n_shingles").alias("total")).where(F.col("total") > TASK_SHINGLES).select("comp")
     heavy = stored(heavy, "heavy")
     light = texts.join(heavy, "comp", "left_anti").select("comp", "doc_id", "text")
-    settled = light.groupBy("comp").applyInArrow(_resolver(make, num, den), "rep long, component_id long")
+    # buckets of whole components, of about a task's size each
+    buckets = math.ceil((texts.agg(F.sum("n_shingles")).first()[0] or 0) / TASK_SHINGLES) + 1
+    settled = light.groupBy(F.pmod(F.xxhash64("comp"), F.lit(buckets))).applyInArrow(_resolver(make, num, den), "rep long, component_id long")
     if heavy.limit(1).count():
         settled = settled.union(_settle_large(texts.join(heavy, "comp", "left_semi"), make, num, den))
     return settled
