@@ -32,7 +32,7 @@ def _nested(h: DataFrame, r: int) -> DataFrame:
 
 def _banded(h: DataFrame, r: int) -> DataFrame:
     cuts = [64 * i // (r + 1) for i in range(r + 2)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << b - a) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), (F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << b - a) - 1)) if b - a < 64 else F.col("h")).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
     keyed = h.select("h", F.explode(bands).alias("k")).select("h", "k.band", "k.value")
     pairs = keyed.alias("x").join(keyed.alias("y"), ["band", "value"]).where("x.h < y.h")
     far = hamming(F.col("x.h"), F.col("y.h"))

@@ -68,7 +68,10 @@ def _row(path: str, size: int, mtime: int, now: int, pixels: Callable[[bytes], o
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCANNED.split(", ")]).astype({c: "Int64" for c in ("dhash", "width", "height", "taken_at_unix")})
+    """Rows with integers kept exact where some are missing (a float column would lose bits of hashes)."""
+    names = [c.split()[0] for c in SCANNED.split(", ")]
+    columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(names, ())
+    return pd.DataFrame({n: pd.array(v, dtype="Int64") if n in ("dhash", "width", "height", "taken_at_unix") else pd.Series(v, dtype=object if n in ("path", "sha256", "gphotos_url", "status") else None) for n, v in columns.items()})
 
 
 def read_images(files: DataFrame, now: int, decoder: Callable = decode) -> DataFrame:
