@@ -173,8 +173,8 @@ def _settle_large(members: DataFrame, make, num: int, den: int) -> DataFrame:
         step += 1
         if not n:
             continue
-        pivots = chosen.join(members.select("doc_id", "text"), "doc_id").select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id", "text", "label")
-        parts = members.join(state.select("doc_id", "label"), "doc_id").select("comp", "block", "doc_id", "text", "label")
+        pivots = chosen.join(members.select("doc_id", "text"), "doc_id").select(F.col("comp").alias("comp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(c) for c in ("doc_id", "text", "label")))
+        parts = members.join(state.select("doc_id", "label"), "doc_id").select(*(F.col(c).alias(c) for c in ("comp", "block", "doc_id", "text", "label")))
         found = parts.groupBy("comp", "block").cogroup(pivots.groupBy("comp", "block")).applyInArrow(_block_linker(make, num, den), "a long, b long")
         merged = components(found).withColumnRenamed("node", "label")
         state = state.join(chosen.select("doc_id", F.lit(True).alias("now")), "doc_id", "left").join(merged, "label", "left")
