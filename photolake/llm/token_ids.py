@@ -6,8 +6,8 @@ document's ids, ended by ``END``, its shard and its offset in it, so stripes are
 and a global position needs only the shards' totals. A reader that asks for ids of documents skips files,
 stripes and row groups by min/max statistics and Bloom filters.
 
-Encoding is the tokenizers library's. A text is cut at single spaces before a visible character, where the
-pre-tokenizer always cuts too, and each distinct piece of a batch is encoded once; a text with other
+Encoding is the tokenizers library's. A text is cut at single spaces and newlines before a visible character, where the
+pre-tokenizer always cuts too, and each distinct piece is encoded once; a text with other
 runs of white space or a special token is encoded whole.
 
 Defined results: a null text is empty and has just ``END``; null ids come first; repeated rows are written
@@ -31,13 +31,23 @@ END = 0
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, shard int, shard_start long, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20)}
-#: Distinct pieces whose ids a worker remembers; only speed depends on it.
-CACHE = 600_000
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Text bytes that are encoded together; their distinct pieces are encoded once.
+SLICE = 24 << 20
+#: White space in the sense of Unicode, and more; the same without the newline.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_LINE = SPACE.replace(r"\s\x0b", r"\x09\x0b-\x0d ")
+#: ASCII marks; at the end of a piece they are a word of their own to the pre-tokenizer.
+MARKS = r"[!-/:-@\[-`{-~]"
+#: What can't stand between newlines unchanged: nothing, white space at either end (a space before a character may start it), a newline, a special token.
+TOUCHY = f"^$|^ {SPACE}|^[^ ]{SPACE}|^{SPACE}$|{SPACE}$|\n|<\\|"
 #: Pieces that are encoded as one text, a newline after each.
 JOINED = 2000
 
 
+def _np(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False)
+
+
 class Encoder:
     def __init__(self, spec: str):
         import os
@@ -48,117 +58,99 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids and lengths of texts, in order."""
-        out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [np.fromiter((i for x in out for i in x), np.int32)], [np.fromiter(map(len, out), np.int64, len(out))]
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.index]
-        # a newline between two pieces is a token of its own, unless white space touches it
-        plain = [p for p in new if p and not p[-1].isspace() and not p.lstrip(" ")[0].isspace() and "\n" not in p and SPECIAL not in p] if self.line is not None else []
-        known = set(plain)
-        rest = [p for p in new if p not in known]
-        flat, lengths = [self.flat], [self.lengths]
-        for at in range(0, len(plain), JOINED):
-            part = plain[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, np.int32)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and lengths, of texts encoded one by one."""
+        out = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *out]), np.fromiter(map(len, out), np.int64, len(out))
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and lengths, of distinct pieces. A newline between two is a token of its own, unless white space touches it."""
+        odd = _np(pc.match_substring_regex(pieces, TOUCHY)) if self.line is not None else np.ones(len(pieces), bool)
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        cuts = np.append(np.arange(0, len(plain), JOINED), len(plain)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pieces.take(pa.array(plain))), "\n").to_pylist()
+        out = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t + "\n" for t in texts], add_special_tokens=False)]
+        if any(np.count_nonzero(x == self.line) != n for x, n in zip(out, np.diff(cuts), strict=True)):
+            ids, lengths = self._each(pieces.take(pa.array(plain)).to_pylist())
+        else:
+            ids = np.concatenate([np.zeros(0, np.int32), *out])
             ends = np.flatnonzero(ids == self.line)
-            if len(ends) == len(part):
-                flat.append(ids[ids != self.line])
-                lengths.append(np.diff(np.concatenate(([-1], ends))) - 1)
-            else:
-                more = self._encoded(part)
-                flat += more[0]
-                lengths += more[1]
-        more = self._encoded(rest)
-        for p in plain + rest:
-            self.index[p] = len(self.index)
-        self.flat, self.lengths = np.concatenate(flat + more[0]), np.concatenate(lengths + more[1])
-
-    @staticmethod
-    def _parts(piece: str) -> tuple[str, str]:
-        """A piece and the marks at its end, which are a word of their own to the pre-tokenizer."""
-        core = piece.rstrip(MARKS)
-        return (core, piece[len(core) :]) if core and not core[-1].isspace() else (piece, "")
+            ids, lengths = ids[ids != self.line], np.diff(np.concatenate(([-1], ends))) - 1
+        more = self._each(pieces.take(pa.array(rest)).to_pylist())
+        # in the order of ``pieces``
+        order = np.argsort(np.concatenate((plain, rest)))
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate((lengths, more[1]))))).astype(np.int32)), pa.array(np.concatenate((ids, more[0]))))
+        return _np(table.take(pa.array(order)).flatten()), np.concatenate((lengths, more[1]))[order]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the ends, and row offsets (rows + 1)."""
         texts = pc.fill_null(texts, "")
         n = len(texts)
-        lists = pc.split_pattern(texts, " ")
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        counts = _np(pc.list_value_length(lists)).astype(np.int64)
         flat = lists.flatten()
         offsets = np.concatenate(([0], np.cumsum(counts)))
         first = np.zeros(len(flat), bool)
         first[offsets[:-1]] = True
         coded = pc.dictionary_encode(flat)
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
-        odd = np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))
-        empty = np.fromiter((not p for p in pieces), bool, len(pieces))
-        bad = np.where(first, empty[codes], odd[codes])
-        slow = np.add.reduceat(bad, offsets[:-1]) > 0 if n else np.zeros(0, bool)
-        slow |= pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False)
+        codes = _np(coded.indices)
+        odd = _np(pc.match_substring_regex(coded.dictionary, f"^$|^{NOT_LINE}|^\n{SPACE}"))
+        bad = np.where(first, _np(pc.equal(coded.dictionary, ""))[codes], odd[codes])
+        # newlines that follow one another are one token or two, as the rest of the white space has it
+        line, alone = (_np(x)[codes] for x in (pc.starts_with(coded.dictionary, "\n"), pc.equal(coded.dictionary, "\n")))
+        bad[:-1] |= alone[:-1] & line[1:] & ~first[1:]
+        slow = np.add.reduceat(bad, offsets[:-1]) > 0
+        slow |= _np(pc.match_substring(texts, SPECIAL))
         row = np.repeat(np.arange(n), counts)
         keep = ~slow[row]
-        heads = coded.dictionary.take(pa.array(codes[first & keep])).to_pylist()
-        whole = texts.filter(pa.array(slow)).to_pylist()
-        codes[first & keep] = len(pieces) + np.arange(len(heads))
-        codes, row = codes[keep], row[keep]
+        heads, codes, row = first[keep], codes[keep], row[keep]
+        # entries: pieces after a space or a newline, then pieces that start a text
+        inner, rows = np.unique(codes[~heads], return_inverse=True)
+        starts, places = np.unique(codes[heads], return_inverse=True)
+        entry = np.empty(len(codes), np.int64)
+        entry[~heads], entry[heads] = rows, len(inner) + places
+        body = coded.dictionary.take(pa.array(inner))
+        lined = pc.starts_with(body, "\n")
+        body = pc.if_else(lined, pc.utf8_slice_codeunits(body, 1), pc.binary_join_element_wise("", body, " "))
+        body = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (body, coded.dictionary.take(pa.array(starts)))])
+        core = pc.replace_substring_regex(body, f"{MARKS}+$", "")
+        whole = pc.match_substring_regex(core, f"^$|{SPACE}$")
+        tail = pc.if_else(whole, "", pc.replace_substring_regex(body, f"(?s)^.*?({MARKS}*)$", r"\1"))
+        core = pc.if_else(whole, body, core)
+        parts = pc.dictionary_encode(pa.concat_arrays([pa.array(["", "\n"]), core, tail]))
+        numbers = _np(parts.indices).astype(np.int64)
+        mark = np.zeros(len(body), np.int64)
+        mark[: len(inner)] = _np(lined)
+        entries = np.stack([numbers[mark], numbers[2 : 2 + len(body)], numbers[2 + len(body) :]], axis=1)
+        ids, lengths = self._pieces(parts.dictionary)
+        # texts that are encoded whole are entries of one part
         slow_rows = np.flatnonzero(slow)
+        more = self._each(texts.take(pa.array(slow_rows)).to_pylist())
+        entries = np.concatenate([entries, np.stack([len(lengths) + np.arange(len(slow_rows)), *[np.full(len(slow_rows), numbers[0])] * 2], axis=1)])
+        ids, lengths = np.concatenate((ids, more[0])), np.concatenate((lengths, more[1]))
         places = np.searchsorted(row, slow_rows)
-        codes = np.insert(codes, places, len(pieces) + len(heads) + np.arange(len(whole)))
+        entry = np.insert(entry, places, len(body) + np.arange(len(slow_rows)))
         row = np.insert(row, places, slow_rows)
-        used = np.zeros(len(pieces) + len(heads) + len(whole), bool)
-        used[codes] = True
-        if len(self.index) > CACHE:
-            self._forget()
-        pairs = [self._parts(" " + p) if u else ("", "") for p, u in zip(pieces, used[: len(pieces)], strict=True)] + [self._parts(p) for p in heads]
-        cores, tails = [c for c, _ in pairs], [t for _, t in pairs]
-        self._learn(cores + tails)
-        known = len(self.lengths)
-        parts = np.empty((len(used), 2), np.int64)
-        parts[: len(pairs), 0] = np.fromiter(map(self.index.__getitem__, cores), np.int64, len(pairs))
-        parts[: len(pairs), 1] = np.fromiter(map(self.index.__getitem__, tails), np.int64, len(pairs))
-        parts[len(pairs) :, 0] = known + np.arange(len(whole))
-        parts[len(pairs) :, 1] = known + len(whole)  # nothing
-        more = self._encoded(whole)
-        lengths = np.concatenate((self.lengths, more[1][0], [0]))
-        ids = np.concatenate((self.flat, more[0][0]))
         table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(ids))
-        out = table.take(pa.array(parts[codes].ravel())).flatten().to_numpy(zero_copy_only=False)
-        per_piece = lengths[parts].sum(axis=1)
-        ends = np.cumsum(np.bincount(row, weights=per_piece[codes], minlength=n).astype(np.int64))
+        # an entry's ids in one list, then each piece's entry
+        joined = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths[entries].sum(axis=1)))).astype(np.int32)), table.take(pa.array(entries.ravel())).flatten())
+        out = _np(joined.take(pa.array(entry)).flatten())
+        ends = np.cumsum(np.bincount(row, weights=lengths[entries].sum(axis=1)[entry], minlength=n).astype(np.int64))
         return np.insert(out, ends, END), np.concatenate(([0], ends + np.arange(1, n + 1)))
 
 
-def worker_encoder(spec: str) -> Encoder:
-    """The encoder of this Python worker, which Spark uses again for later tasks."""
-    import tokenizers
-
-    key, encoder = getattr(tokenizers, "_photolake_encoder", (None, None))
-    if key != spec:
-        encoder = Encoder(spec)
-        tokenizers._photolake_encoder = (spec, encoder)
-    return encoder
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Encode ``docs`` (doc_id, text) with the tokenizers file ``tokenizer`` into ORC files at ``path``."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, a few MB whatever the data
 
     def run(batches):
-        encode, at = worker_encoder(spec.value), 0
+        encode, at = Encoder(spec.value), 0
         shard = TaskContext.get().partitionId()
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             ids, offsets = encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(batch.num_rows, shard, np.int32)), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "shard", "shard_start", "ids"])
             at += len(ids)
