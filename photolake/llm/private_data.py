@@ -108,6 +108,9 @@ e Aneaou, er Anon, la Reeaat. Contact. Regards to all of them.
 und Herr der Ringe ist ein Buch und Frau Holle auch.
 Then. Thent. Than. Thon Thin. Theren Atsh, Edsh Onst.
 12 34 56 and 78 Thent or 90 Onst in 11 places
+By. With Is. Anat At. Inlyed Ed. Reaning Is. That Et. Oneux At. Tist Ist. Enung Th. Thanou
+it. Los. Ladod Er. Lyor En. Thesor by. Hahahe is. Whwh de. Aiel un. Ree as. Thly
+Nt. Anedan Ea. The By. Onlyou. Ist. Teen De. Aielle By. Anenhe. To. By the Is. Bleea
 """.strip()
 
 _TABLE = bytes(ord("X") if 65 <= c <= 90 else ord("x") if 97 <= c <= 122 or c >= 128 else ord("d") if 48 <= c <= 57 else c for c in range(256))
@@ -135,7 +138,7 @@ def shape(word: str) -> str:
 
 
 #: What a word must gain beyond O before it's labelled: a miss costs less than a label on clean text.
-MARGIN = 3.0
+MARGIN = 2.0
 
 
 def cue(word: str) -> str:
@@ -151,7 +154,8 @@ class Field:
             sentences.setdefault(s, []).append((w, LABELS.index(label)))
         words = [w for s in sentences.values() for w, _ in s]
         lower = [cue(w) for w in words]
-        self.cues = {w: i + 1 for i, w in enumerate(sorted(set(lower)))}
+        # words that occur once stand for all unknown ones
+        self.cues = {w: i + 1 for i, w in enumerate(sorted({w for w in lower if lower.count(w) > 1}))}
         self.shapes = {w: i + 1 for i, w in enumerate(sorted({shape(w) for w in words}))}
         n, width = len(sentences), max(map(len, sentences.values()))
         kinds = len(self.shapes) + 2 + len(self.cues) + 1
@@ -264,6 +268,8 @@ class Field:
         t = self.t
         around = max(float((t[:, l][:, None] + t[l, :][None, :] - t[:, :1] - t[0:1, :]).max()) for l in range(1, len(LABELS)))
         may = gains[0][before] + gains[1][codes] + gains[2][after] + around >= 0
+        # a word next to itself is O
+        may &= (codes != before) & (codes != after)
         spots = np.flatnonzero(may)
         if not len(spots):
             return spots, spots
