@@ -175,11 +175,11 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
     chunk = F.pmod(F.xxhash64("h", "doc_id"), F.lit(math.ceil(size / CHUNK_BYTES) + 1)).cast("int")
     dealt = rows.withColumn("chunk", chunk)
 
-    def ask(key, table: pa.Table) -> pa.Table:
+    def ask(key, table):
         parts = [pa.table({"chunk": pa.array(np.full(len(g), key[0].as_py(), np.int32)), "lang": pa.array([lang] * len(g)), "g": pa.array(g.view(np.int64))}) for batch in text_slices(table.combine_chunks().to_batches()) for lang, _, codes, words, _ in _by_language(batch) if len(codes) for g in [np.unique(_grams(words)[0])]]
         return pa.concat_tables(parts) if parts else pa.table({"chunk": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "g": pa.array([], pa.int64())})
 
-    def answer(key, table: pa.Table, told: pa.Table) -> pa.Table:
+    def answer(key, table, told):
         model = _model(told)
         parts = [_scored(batch, model) for batch in text_slices(table.combine_chunks().to_batches())]
         return pa.Table.from_batches(parts)
