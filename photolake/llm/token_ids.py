@@ -70,7 +70,9 @@ class Encoder:
         plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
         cuts = np.append(np.arange(0, len(plain), JOINED), len(plain)).astype(np.int32)
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pieces.take(pa.array(plain))), "\n").to_pylist()
-        out = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t + "\n" for t in texts], add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), 8):  # what the library keeps of each token is large, so a few texts at a time
+            out += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t + "\n" for t in texts[at : at + 8]], add_special_tokens=False)]
         if any(np.count_nonzero(x == self.line) != n for x, n in zip(out, np.diff(cuts), strict=True)):
             ids, lengths = self._each(pieces.take(pa.array(plain)).to_pylist())
         else:
@@ -104,14 +106,14 @@ class Encoder:
         bad[:-1] |= alone[:-1] & line[1:] & ~first[1:]
         slow = np.add.reduceat(bad, offsets[:-1]) > 0
         slow |= _np(pc.match_substring(texts, SPECIAL))
-        row = np.repeat(np.arange(n), counts)
+        row = np.repeat(np.arange(n, dtype=np.int32), counts)
         keep = ~slow[row]
         heads, codes, row = first[keep], codes[keep], row[keep]
         # entries: pieces after a space or a newline, then pieces that start a text
-        inner, rows = np.unique(codes[~heads], return_inverse=True)
-        starts, places = np.unique(codes[heads], return_inverse=True)
-        entry = np.empty(len(codes), np.int64)
-        entry[~heads], entry[heads] = rows, len(inner) + places
+        inner, starts = np.zeros(len(coded.dictionary), bool), np.zeros(len(coded.dictionary), bool)
+        inner[codes[~heads]], starts[codes[heads]] = True, True
+        entry = np.where(heads, (np.cumsum(starts, dtype=np.int32) + (np.count_nonzero(inner) - 1))[codes], (np.cumsum(inner, dtype=np.int32) - 1)[codes])
+        inner, starts = np.flatnonzero(inner), np.flatnonzero(starts)
         body = coded.dictionary.take(pa.array(inner))
         lined = pc.starts_with(body, "\n")
         body = pc.if_else(lined, pc.utf8_slice_codeunits(body, 1), pc.binary_join_element_wise("", body, " "))
