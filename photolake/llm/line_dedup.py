@@ -148,7 +148,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     each = scanned.distinct().select("doc_id", "h", F.explode(F.arrays_zip("numbers", "ids")).alias("l")).select("doc_id", "h", F.col("l.numbers").alias("number"), F.col("l.ids").alias("id"))
     each = each.join(found, "id", "left").select("doc_id", "h", "number", F.coalesce("component", "id").alias("component"))
     place = F.struct("doc_id", "h", "number")
-    first = each.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
+    # written, so that both sides of the join are plain shuffles, whose large partitions are split
+    first = stored(each.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first"), "first")
     gone = each.join(first, "component").where(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.sort_array(F.collect_list("number")).alias("dropped"))
     out = scanned.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
