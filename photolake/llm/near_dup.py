@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stored(signatures(docs, width, num / den, bands), "signatures")
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = linked.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written, so that both sides of its joins are plain shuffles, whose large partitions are split
+    classes = stored(linked.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     member = signed.drop("keys").join(classes, ["k1", "k2", "n_shingles"], "left")
     rep = linked.join(classes, ["k1", "k2", "n_shingles"]).where("doc_id = rep").dropDuplicates(["rep", "k1", "k2"])
     keys = rep.select("rep", F.explode("keys").alias("key"))
