@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: storage, Arrow text batches, hashing, graphs.
+"""Helpers that the corpus operators share: Arrow text batches, hashing, sketches, union-find.
 
 Nothing here collects rows of documents. What is cut from its lineage is written as Parquet
 under ``spark.checkpoint.dir``, so a lost executor costs only the tasks that ran on it.
@@ -6,19 +6,16 @@ under ``spark.checkpoint.dir``, so a lost executor costs only the tasks that ran
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A side of at most so many bytes (counted before, never guessed) may be broadcast.
-BROADCAST_BYTES = 24 << 20
+from photolake.operators.graph import components
+from photolake.storage import BROADCAST_BYTES, new_path, small, stored
+
 #: Entries of an array that numpy works on at a time where many passes follow.
 CACHED = 1 << 16
 #: Text bytes that one numpy pass holds at a time.
@@ -28,34 +25,6 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-# ---------------------------------------------------------------- storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="photolake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: the lineage ends, column pruning stays."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint where its counted size allows it; Spark's own join choice otherwise."""
-    return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
-
-
 # ---------------------------------------------------------------- text in Arrow batches
 
 
@@ -219,31 +188,6 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 # ---------------------------------------------------------------- graphs
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge table: rows (node, component), component the least node.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014) over DataFrames; each
-    round is written to the shared folder. Only two numbers a round reach the driver. Nodes without an
-    edge to another node don't appear. Hubs are safe: minima combine map-side, joins split.
-    """
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now = stored(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        # small-star: every edge points to a smaller node already
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        now = stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        last, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == last:
-            break
-    tops = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
-
-
 class UnionFind:
     """Union-find over 0..n-1 whose roots are the least members."""
 

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from photolake.llm import common
+from photolake import storage
 from photolake.llm.decontaminate import contamination, decontaminate, phrase_matches, proximity_matches
 from tests.llm.conftest import prose
 from tests.llm.conftest_llm import LOWER
@@ -68,7 +68,7 @@ def test_against_brute_force(spark, table):
 
 
 def test_large_benchmark_takes_the_shuffle(spark, table, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
     docs, items = case()
     assert rows(contamination(table(docs), bench_table(spark, items))) == brute(docs, items)
 
