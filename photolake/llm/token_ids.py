@@ -32,7 +32,7 @@ SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, shard int, shard_start long, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20)}
 #: Text bytes that are encoded together; their distinct pieces are encoded once.
-SLICE = 24 << 20
+SLICE = 10 << 20
 #: White space in the sense of Unicode, and more; the same without the newline.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_LINE = SPACE.replace(r"\s\x0b", r"\x09\x0b-\x0d ")
@@ -95,10 +95,11 @@ class Encoder:
         counts = _np(pc.list_value_length(lists)).astype(np.int64)
         flat = lists.flatten()
         offsets = np.concatenate(([0], np.cumsum(counts)))
-        first = np.zeros(len(flat), bool)
+        first = np.zeros(offsets[-1], bool)
         first[offsets[:-1]] = True
         coded = pc.dictionary_encode(flat)
         codes = _np(coded.indices)
+        del lists, flat
         odd = _np(pc.match_substring_regex(coded.dictionary, f"^$|^{NOT_LINE}|^\n{SPACE}"))
         bad = np.where(first, _np(pc.equal(coded.dictionary, ""))[codes], odd[codes])
         # newlines that follow one another are one token or two, as the rest of the white space has it
@@ -106,6 +107,7 @@ class Encoder:
         bad[:-1] |= alone[:-1] & line[1:] & ~first[1:]
         slow = np.add.reduceat(bad, offsets[:-1]) > 0
         slow |= _np(pc.match_substring(texts, SPECIAL))
+        del bad, line, alone
         row = np.repeat(np.arange(n, dtype=np.int32), counts)
         keep = ~slow[row]
         heads, codes, row = first[keep], codes[keep], row[keep]
@@ -139,9 +141,16 @@ class Encoder:
         table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(ids))
         # an entry's ids in one list, then each piece's entry
         joined = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths[entries].sum(axis=1)))).astype(np.int32)), table.take(pa.array(entries.ravel())).flatten())
-        out = _np(joined.take(pa.array(entry)).flatten())
-        ends = np.cumsum(np.bincount(row, weights=lengths[entries].sum(axis=1)[entry], minlength=n).astype(np.int64))
-        return np.insert(out, ends, END), np.concatenate(([0], ends + np.arange(1, n + 1)))
+        per_row = np.zeros(n, np.int64)
+        filled = np.flatnonzero(np.diff(row, prepend=-1))
+        per_row[row[filled]] = np.add.reduceat(np.diff(joined.offsets.to_numpy())[entry], filled) if len(filled) else 0
+        ends = np.cumsum(per_row)
+        del row, heads, keep, codes, first
+        ids = np.full(int(ends[-1]) + n, END, np.int32)
+        inside = np.ones(len(ids), bool)
+        inside[ends + np.arange(n)] = False
+        ids[inside] = _np(joined.take(pa.array(entry)).flatten())
+        return ids, np.concatenate(([0], ends + np.arange(1, n + 1)))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
@@ -150,6 +159,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, a few MB whatever the data
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between slices
         encode, at = Encoder(spec.value), 0
         shard = TaskContext.get().partitionId()
         for batch in text_slices(batches, limit=SLICE):
