@@ -36,7 +36,7 @@ QUANTILES = (0.5, 0.9)
 SPREAD = 8.0
 #: Units of a language's usual text that are added to each document, so that a few odd words don't decide on short ones.
 PRIOR_UNITS = 60
-#: Text bytes whose grams are counted together, and of a chunk.
+#: Text bytes of a chunk.
 CHUNK_BYTES = 24 << 20
 START, END = "￾", "￿"
 _START = 0xFFFE
@@ -66,7 +66,7 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.nd
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, limit=CHUNK_BYTES):
+    for batch in text_slices(batches):
         train = batch.column("train").to_numpy(zero_copy_only=False)
         for lang, rows, codes, words, offsets in _by_language(batch):
             if not len(codes):
