@@ -148,7 +148,8 @@ def gram_log_probabilities(counts: DataFrame) -> DataFrame:
             own = own.withColumn("low", F.col("g").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))).join(below, ["lang", "low"])
             base = F.col("q")
         p = F.coalesce((F.coalesce(F.col("c") - F.col("cut"), F.lit(0.0)) + F.col("cuts") * base) / F.col("all"), base)
-        below = own.select("lang", F.col("g").alias("low"), p.alias("q")).where("q is not null")
+        # written order by order, so that each plan is small
+        below = stored(own.select("lang", F.col("g").alias("low"), p.alias("q")).where("q is not null"), f"order{k}")
     return below.select("lang", F.col("low").alias("g"), F.log("q").alias("logp"))
 
 
@@ -161,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLD)) == 0
     rows = rows.select("doc_id", "h", "lang", "text", (F.col("t").isNotNull() & ~fold).alias("train"), (F.col("t").isNotNull() & fold).alias("held"))
     counts = rows.select("lang", "text", "train").mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    logp = stored(gram_log_probabilities(stored(counts, "grams")), "model")
+    logp = gram_log_probabilities(stored(counts, "grams"))
     rows = rows.select("doc_id", "h", "lang", "held", "text")
     if logp.count() * 24 <= broadcast_bytes:
         model = docs.sparkSession.sparkContext.broadcast(_model(logp.toArrow()))
