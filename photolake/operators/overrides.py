@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake import schema
+from photolake.storage import small
 
 FIELDS = ("blur_threshold", "dark_threshold", "bright_threshold", "useless_threshold")
 
@@ -36,7 +37,7 @@ def resolve(images: DataFrame, rules: DataFrame) -> DataFrame:
     known = rules.agg(F.sort_array(F.collect_set("prefix")).alias("_known"))
     head = F.coalesce(*(F.when((F.length("path") >= n) & F.array_contains("_known", F.substring("path", 1, n)), F.substring("path", 1, n)) for n in lengths))
     named = images.crossJoin(F.broadcast(known)).withColumn("ov_prefix", head).drop("_known")  # one row
-    return named.join(F.broadcast(rules.select(F.col("prefix").alias("_p"), *own)), F.col("ov_prefix") == F.col("_p"), "left").drop("_p")
+    return named.join(small(rules.select(F.col("prefix").alias("_p"), *own), rules.count(), 256), F.col("ov_prefix") == F.col("_p"), "left").drop("_p")
 
 
 def effective(field: str, default: float) -> Column:
