@@ -18,8 +18,9 @@ from photolake.storage import BROADCAST_BYTES, new_path, small, stored
 
 #: Entries of an array that numpy works on at a time where many passes follow.
 CACHED = 1 << 16
-#: Text bytes that one numpy pass holds at a time.
-SLICE_BYTES = 8 << 20
+#: Text bytes that one numpy pass holds at a time, and where slices are the first stage of combining.
+SLICE_BYTES = 4 << 20
+COMBINED_BYTES = 8 << 20
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolake.llm.common import CACHED, band_table, components, mix, runs, sketch_rows, small, stored, text_slices
+from photolake.llm.common import CACHED, COMBINED_BYTES, band_table, components, mix, runs, sketch_rows, small, stored, text_slices
 from photolake.llm.near_dup import settle
 
 WIDTH = 8
@@ -79,7 +79,7 @@ def line_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document with its lines; the slice's keys and ties go with its first document."""
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, limit=COMBINED_BYTES):
         numbers, ids, texts, ends = [], [], [], [0]
         for text in batch.column("text").to_pylist():
             n, lines = line_ids(text or "")

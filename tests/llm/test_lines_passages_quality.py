@@ -55,7 +55,7 @@ def line_case():
 @pytest.mark.parametrize("slice_bytes", [8 << 20, 3000])
 def test_lines_against_brute_force(table, monkeypatch, slice_bytes):
     whole = line_dedup.text_slices
-    monkeypatch.setattr(line_dedup, "text_slices", lambda b: whole(b, limit=slice_bytes))
+    monkeypatch.setattr(line_dedup, "text_slices", lambda b, **_: whole(b, limit=slice_bytes))
     rows = line_case()
     got = {r["doc_id"]: list(r["dropped"]) for r in repeated_lines(table(rows)).collect()}
     assert got == brute_lines(rows)
