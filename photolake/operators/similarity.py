@@ -23,6 +23,8 @@ NESTED_LOOP = 50_000
 #: Radius up to which bands prune enough.
 BANDED = 7
 BLOCK = 8192
+#: Up to so many pairs (16 bytes each) are joined to clusters in one task.
+ONE_TASK = 500_000
 
 
 def _nested(h: DataFrame, r: int) -> DataFrame:
@@ -79,7 +81,7 @@ def image_pairs(images: DataFrame, radius: int) -> DataFrame:
 def clusters(images: DataFrame, radius: int, pairs: DataFrame | None = None) -> DataFrame:
     """(id, label): single-linkage clusters of two images or more; the label is the least id in it."""
     pairs = (hamming_pairs(images, radius) if pairs is None else pairs).where(F.col("dist") <= radius)
-    found = components(pairs).select(F.col("node").alias("dhash"), F.col("component"))
+    found = components(pairs, one_task=ONE_TASK).select(F.col("node").alias("dhash"), F.col("component"))
     each = images.select("id", "dhash").join(found, "dhash", "left").withColumn("component", F.coalesce("component", "dhash"))
     groups = each.groupBy("component").agg(F.min("id").alias("label"), F.count("*").alias("n")).where("n > 1")
     return each.join(groups, "component").select("id", "label", F.col("n").alias("size"))

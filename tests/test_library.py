@@ -167,7 +167,8 @@ def test_components_chain_and_numbering(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 300)] + [(500, 501), (500, 500)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(chain).collect()}
     assert all(got[i] == 1 for i in range(1, 301)) and got[501] == 500 and len(got) == 302
-    assert components(chain.where("a < 0")).count() == 0
+    assert {r["node"]: r["component"] for r in components(chain, one_task=1000).collect()} == got
+    assert components(chain.where("a < 0")).count() == 0 and components(chain.where("a < 0"), one_task=9).count() == 0
     rows = numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("id")), "id").collect()
     assert all(r["n"] == r["id"] + 1 for r in rows)
 
