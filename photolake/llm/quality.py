@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photolake.llm.common import BROADCAST_BYTES, small, split_words, stored, text_slices
@@ -119,16 +119,14 @@ def gram_log_probabilities(counts: DataFrame) -> DataFrame:
 
     The highest order has counts n; the orders below have continuation counts. Grams with n = 0 are only asked for.
     """
-    asked = counts.select("lang", "g")
-    seen = counts.where("n > 0").select("lang", "g", F.col("n").alias("c"))
-    orders = [seen]
+    # a gram's suffix is asked for too, and counts how many different seen grams end in it
+    orders = [counts.select("lang", "g", F.expr("nullif(n, 0)").alias("c"))]
     for k in range(ORDER - 1, 0, -1):
-        orders.append(orders[-1].select("lang", F.col("g").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("g")).groupBy("lang", "g").agg(F.count("*").alias("c")))
+        orders.append(orders[-1].groupBy("lang", F.col("g").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("g")).agg(F.expr("nullif(count(c), 0)").alias("c")))
     below = None
     for k, table in zip(range(1, ORDER + 1), reversed(orders), strict=True):
-        context = F.shiftrightunsigned("g", 16)
         n = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        d = table.groupBy("lang").agg(*n)
+        d = table.where("c is not null").groupBy("lang").agg(*n)
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
         def step(i: int, y: Column = y) -> Column:
@@ -136,11 +134,11 @@ def gram_log_probabilities(counts: DataFrame) -> DataFrame:
             return F.coalesce(F.when((value > 0) & (value < i), value), F.lit(i / 2)).alias(f"d{i}")
 
         d = d.select("lang", step(1), step(2), step(3))
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        table = table.join(F.broadcast(d), "lang").select("lang", "g", "c", cut.alias("cut"))  # d: a row for each language code of the trusted text
-        sums = table.groupBy("lang", context.alias("context")).agg(F.sum("c").alias("all"), F.sum("cut").alias("cuts"), F.count("*").alias("types"))
-        own = asked.select("lang", (F.col("g").bitwiseAND(F.lit((1 << 16 * k) - 1)) if k < ORDER else F.col("g")).alias("g")).distinct()
-        own = own.withColumn("context", context).join(table, ["lang", "g"], "left").join(sums, ["lang", "context"], "left")
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).when(F.col("c") > 2, F.col("d3"))
+        own = table.join(F.broadcast(d), "lang").select("lang", "g", "c", cut.alias("cut"))  # d: a row for each language code of the trusted text
+        # the seen grams of a context are among those asked for; a context has one gram for each unit at most
+        same = Window.partitionBy("lang", F.shiftrightunsigned("g", 16))
+        own = own.select("lang", "g", "c", "cut", F.sum("c").over(same).alias("all"), F.sum("cut").over(same).alias("cuts"), F.count("c").over(same).alias("types"))
         if below is None:
             # order 0: the same chance for each unit and one unseen
             base = F.lit(1.0) / (F.col("types") + 1)
@@ -149,7 +147,7 @@ def gram_log_probabilities(counts: DataFrame) -> DataFrame:
             base = F.col("q")
         p = F.coalesce((F.coalesce(F.col("c") - F.col("cut"), F.lit(0.0)) + F.col("cuts") * base) / F.col("all"), base)
         # written order by order, so that each plan is small
-        below = stored(own.select("lang", F.col("g").alias("low"), p.alias("q")).where("q is not null"), f"order{k}")
+        below = stored(own.select("lang", F.col("g").alias("low"), p.alias("q")), f"order{k}")
     return below.select("lang", F.col("low").alias("g"), F.log("q").alias("logp"))
 
 
