@@ -29,7 +29,7 @@ from photolake.llm.common import new_path, small, text_slices
 
 END = 0
 SPECIAL = "<|endoftext|>"
-SCHEMA = "doc_id long, shard int, shard_start long, ids array<int>"
+SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20)}
 #: Text bytes that are encoded together; their distinct pieces are encoded once.
 SLICE = 10 << 20
@@ -40,6 +40,8 @@ NOT_LINE = SPACE.replace(r"\s\x0b", r"\x09\x0b-\x0d ")
 MARKS = r"[!-/:-@\[-`{-~]"
 #: What can't stand between newlines unchanged: nothing, white space at either end (a space before a character may start it), a newline, a special token.
 TOUCHY = f"^$|^ {SPACE}|^[^ ]{SPACE}|^{SPACE}$|{SPACE}$|\n|<\\|"
+#: Distinct pieces that a worker remembers, about 40 bytes each.
+CACHE = 800_000
 #: Pieces that are encoded as one text, a newline after each.
 JOINED = 2000
 
@@ -58,6 +60,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        #: Pieces encoded before, with their ids end to end; only speed depends on it.
+        self.known, self.flat, self.lengths = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end, and lengths, of texts encoded one by one."""
@@ -65,7 +69,23 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.int32), *out]), np.fromiter(map(len, out), np.int64, len(out))
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids end to end, and lengths, of distinct pieces. A newline between two is a token of its own, unless white space touches it."""
+        """Ids end to end, and lengths, of distinct pieces."""
+        place = _np(pc.fill_null(pc.index_in(pieces, value_set=self.known), -1)).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.known) + np.arange(len(new))
+        missing = pieces.take(pa.array(new))
+        ids, lengths = self._new(missing)
+        self.flat, self.lengths = np.concatenate((self.flat, ids)), np.concatenate((self.lengths, lengths))
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(self.lengths))).astype(np.int32)), pa.array(self.flat))
+        out, lengths = _np(table.take(pa.array(place)).flatten()), self.lengths[place]
+        if len(self.lengths) > CACHE:
+            self.known, self.flat, self.lengths = pieces, out, lengths
+        else:
+            self.known = pa.concat_arrays([self.known, missing])
+        return out, lengths
+
+    def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and lengths, of pieces. A newline between two is a token of its own, unless white space touches it."""
         odd = _np(pc.match_substring_regex(pieces, TOUCHY)) if self.line is not None else np.ones(len(pieces), bool)
         plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
         cuts = np.append(np.arange(0, len(plain), JOINED), len(plain)).astype(np.int32)
@@ -153,6 +173,17 @@ class Encoder:
         return ids, np.concatenate(([0], ends + np.arange(1, n + 1)))
 
 
+def worker_encoder(spec: str) -> Encoder:
+    """The encoder of this Python worker, which Spark uses again for later tasks."""
+    import tokenizers
+
+    key, encoder = getattr(tokenizers, "_photolake_encoder", (None, None))
+    if key != spec:
+        encoder = Encoder(spec)
+        tokenizers._photolake_encoder = (spec, encoder)
+    return encoder
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Encode ``docs`` (doc_id, text) with the tokenizers file ``tokenizer`` into ORC files at ``path``."""
     with open(tokenizer, encoding="utf-8") as f:
@@ -160,11 +191,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between slices
-        encode, at = Encoder(spec.value), 0
+        encode, at = worker_encoder(spec.value), 0
         shard = TaskContext.get().partitionId()
         for batch in text_slices(batches, limit=SLICE):
             ids, offsets = encode(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(batch.num_rows, shard, np.int32)), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "shard", "shard_start", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(batch.num_rows, shard, np.int32)), pa.array(at + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
             at += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
@@ -192,10 +223,10 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), batch.column("shard_start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
     rows = read_tokens(spark, path)
-    totals = rows.groupBy("shard").agg(F.sum(F.size("ids")).alias("total"))  # a row for each file
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # a row for each file
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("shard").alias("s"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    out = rows.mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
+    out = rows.drop("n_tokens").mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     return out.join(small(bases, totals.count(), 64), F.col("shard") == F.col("s")).select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
