@@ -6,6 +6,7 @@ under ``spark.checkpoint.dir``, so a lost executor costs only the tasks that ran
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,18 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 # ---------------------------------------------------------------- text in Arrow batches
 
 
+def release() -> None:
+    """Give free memory back to the system; a worker that waits for its next task would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``limit`` text bytes (or one row)."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -42,6 +53,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        batch = lengths = ends = None
+    release()
 
 
 def hash_strings(values: pa.Array) -> np.ndarray:
