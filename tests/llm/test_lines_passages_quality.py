@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from photolake.llm import line_dedup
+from photolake.llm import passages as passages_module
 from photolake.llm.line_dedup import drop_lines, repeated_lines
 from photolake.llm.passages import compact_windows, repeated_passages
 from photolake.llm.quality import classify, good_documents, gram_log_probabilities, score
@@ -161,3 +162,25 @@ def test_scores_do_not_depend_on_how_the_model_travels(spark):
     docs, labels = quality_case(spark)
     rows = lambda d: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in d.collect()), key=str)
     assert rows(score(docs, labels)) == rows(score(docs, labels, broadcast_bytes=0))
+
+
+@pytest.mark.parametrize("slice_bytes", [8 << 20, 1])
+def test_passages_past_a_first_document_that_fails(table, monkeypatch, slice_bytes):
+    """Documents share a passage whose every shingle earlier documents have in other contexts."""
+    whole = passages_module.text_slices
+    monkeypatch.setattr(passages_module, "text_slices", lambda b, **_: whole(b, limit=slice_bytes))
+    shared = prose(7, 60)
+    words = shared.split()
+    rows = [(i, f"{prose(100 + i, 60)} {' '.join(words[10 * i:10 * i + 15])} {prose(200 + i, 60)}") for i in range(6)]
+    rows += [(10 + i, f"{prose(300 + i, 60)} {' '.join(words[10 * i:10 * i + 15])} {prose(400 + i, 60)}") for i in range(6)]
+    rows += [(20, f"{prose(20, 70)} {shared}"), (21, f"{prose(21, 80)} {shared}"), (22, f"{shared} {prose(22, 90)}")]
+    out = {r["doc_id"]: r for r in repeated_passages(table(rows)).collect()}
+    assert [(out[i]["n_repeated"], out[i]["n_dropped"]) for i in (20, 21, 22)] == [(60, 0), (60, 60), (60, 60)]
+    assert all(out[i]["n_repeated"] == 0 for i in range(16) if i in out)
+
+
+def test_passage_twice_in_the_first_document(table):
+    part = prose(7, 60).split()
+    rows = [(1, f"{' '.join(part[:30])} {prose(1, 60)} {' '.join(part)} {prose(2, 40)}"), (2, f"{prose(3, 50)} {' '.join(part)}")]
+    out = {r["doc_id"]: r for r in repeated_passages(table(rows)).collect()}
+    assert [(out[i]["n_repeated"], out[i]["n_dropped"]) for i in (1, 2)] == [(60, 0), (60, 60)]
