@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, thresholds by language.
 
-The model predicts UTF-16 units of words from the three units before them (a word starts with start marks and ends with an end
-mark), one model for each language, trained on the trusted documents (labelled good and not toxic) outside a held-out fold.
+The model predicts UTF-16 units of the running text from the three units before them (a text starts with start marks and ends with
+an end mark, one space stands between words), one model for each language, trained on the trusted documents (labelled good and not toxic) outside a held-out fold.
 One scan counts the 4-grams of all documents, so what is gathered grows with the corpus: counts of trusted text and the
 grams that will be asked for. Counts and continuation counts of each order are sharded by (language, gram) and joined by
 shuffles; the joins give the probability of every gram asked for. A document's perplexity is that of its
@@ -36,6 +36,8 @@ QUANTILES = (0.5, 0.9)
 SPREAD = 8.0
 #: Units of a language's usual text that are added to each document, so that a few odd words don't decide on short ones.
 PRIOR_UNITS = 60
+#: Words of the window whose surprise a few odd words show in.
+WORST_WORDS = 6
 #: Text bytes of a chunk.
 CHUNK_BYTES = 24 << 20
 START, END = "￾", "￿"
@@ -43,9 +45,9 @@ _START = 0xFFFE
 LOW = 0xFFFF
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-grams of words as unsigned 64-bit numbers, and the word each belongs to."""
-    text = "".join(f"{START * 3}{w}{END}" for w in (x.replace(START, "?").replace(END, "?") for x in words))
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 4-grams of texts as unsigned 64-bit numbers, and the text each belongs to."""
+    text = "".join(f"{START * 3}{w}{END}" for w in (x.replace(START, "?").replace(END, "?") for x in texts))
     u = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
     g = u.copy()
     g[1:] |= u[:-1] << np.uint64(16)
@@ -56,44 +58,56 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[inside], ends[inside]
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[str], np.ndarray]]:
-    """(language, row numbers, word codes, words, offsets) of a batch's rows."""
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """(language, row numbers, running texts) of a batch's rows that have words; one space stands between words."""
     langs = batch.column("lang")
     for lang in pc.unique(langs).to_pylist():
         rows = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
         codes, words, offsets = split_words(batch.column("text").take(pa.array(rows)), lower=False)
-        yield lang, rows, codes, words.to_pylist(), offsets
+        some = np.flatnonzero(np.diff(offsets))
+        if len(some):
+            each = words.take(pa.array(codes)).to_pylist()
+            yield lang, rows[some], [" ".join(each[offsets[i] : offsets[i + 1]]) for i in some.tolist()]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         train = batch.column("train").to_numpy(zero_copy_only=False)
-        for lang, rows, codes, words, offsets in _by_language(batch):
-            if not len(codes):
-                continue
-            grams, owner = _grams(words)
-            weight = np.bincount(codes[np.repeat(train[rows], np.diff(offsets))], minlength=len(words))
-            values, place = np.unique(grams, return_inverse=True)
-            n = np.bincount(place, weights=weight[owner], minlength=len(values)).astype(np.int64)
+        for lang, rows, texts in _by_language(batch):
+            grams, owner = _grams(texts)
+            values = np.unique(grams)
+            own, times = np.unique(grams[train[rows][owner]], return_counts=True)
+            n = np.zeros(len(values), np.int64)
+            n[np.searchsorted(values, own)] = times
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "g", "n"])
 
 
-def _scores(batch: pa.RecordBatch, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: sum of log probabilities (NaN without a model or words) and number of units."""
-    total, units = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, np.int64)
-    for lang, rows, codes, words, offsets in _by_language(batch):
-        if not len(codes):
-            continue
-        grams, owner = _grams(words)
-        length = np.bincount(owner, minlength=len(words))
-        row = np.repeat(np.arange(len(rows)), np.diff(offsets))
-        units[rows] = np.bincount(row, weights=length[codes], minlength=len(rows)).astype(np.int64)
+def _worst(surprise: np.ndarray, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the most surprise of ``WORST_WORDS`` words in a row, or of the whole text if it has fewer."""
+    last = grams & np.uint64(LOW)
+    ends = np.flatnonzero((last == np.uint64(0x20)) | (last == np.uint64(LOW)))
+    whose = owner[ends]
+    total = np.concatenate(([0.0], np.cumsum(surprise)))[np.concatenate(([0], ends + 1))]
+    first = np.searchsorted(whose, whose)  # the text's first word
+    start = np.maximum(np.arange(len(ends)) - WORST_WORDS + 1, first)
+    worst = np.zeros(n)
+    np.maximum.at(worst, whose, total[1:] - total[start])
+    return worst
+
+
+def _scores(batch: pa.RecordBatch, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row: sum of log probabilities and its worst words' (NaN without a model or words), and number of units."""
+    total, worst, units = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, np.int64)
+    for lang, rows, texts in _by_language(batch):
+        grams, owner = _grams(texts)
+        units[rows] = np.bincount(owner, minlength=len(rows))
         if lang in model:
             known, logp = model[lang]
-            each = np.bincount(owner, weights=logp[np.searchsorted(known, grams)], minlength=len(words))
-            sums = np.bincount(row, weights=each[codes], minlength=len(rows))
-            total[rows] = np.where(units[rows] > 0, sums, np.nan)
-    return total, units
+            values, place = np.unique(grams, return_inverse=True)
+            each = logp[np.searchsorted(known, values)][place]
+            total[rows] = np.bincount(owner, weights=each, minlength=len(rows))
+            worst[rows] = _worst(-each, grams, owner, len(rows))
+    return total, worst, units
 
 
 def _model(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -106,12 +120,12 @@ def _model(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-SCORED = "doc_id long, h long, lang string, held boolean, units long, logp double"
+SCORED = "doc_id long, h long, lang string, held boolean, units long, logp double, worst double"
 
 
 def _scored(batch: pa.RecordBatch, model) -> pa.RecordBatch:
-    total, units = _scores(batch, model)
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "lang", "held")), pa.array(units), pa.array(total, mask=np.isnan(total))], names=["doc_id", "h", "lang", "held", "units", "logp"])
+    total, worst, units = _scores(batch, model)
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "lang", "held")), pa.array(units), pa.array(total, mask=np.isnan(total)), pa.array(worst, mask=np.isnan(worst))], names=["doc_id", "h", "lang", "held", "units", "logp", "worst"])
 
 
 def gram_log_probabilities(counts: DataFrame) -> DataFrame:
@@ -152,7 +166,7 @@ def gram_log_probabilities(counts: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, h, lang, held, units, logp) of each row; held: trusted and in the held-out fold; h: the text's hash."""
+    """(doc_id, h, lang, held, units, logp, worst) of each row; held: trusted and in the held-out fold; h: the text's hash."""
     trusted = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("t")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).where("quality = 1 and toxic = 0").select("t")
     trusted = stored(trusted, "trusted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), docs["text"].cast("string").alias("text"))
@@ -175,7 +189,7 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
     dealt = rows.withColumn("chunk", chunk)
 
     def ask(key, table):
-        parts = [pa.table({"chunk": pa.array(np.full(len(g), key[0].as_py(), np.int32)), "lang": pa.array([lang] * len(g)), "g": pa.array(g.view(np.int64))}) for batch in text_slices(table.combine_chunks().to_batches()) for lang, _, codes, words, _ in _by_language(batch) if len(codes) for g in [np.unique(_grams(words)[0])]]
+        parts = [pa.table({"chunk": pa.array(np.full(len(g), key[0].as_py(), np.int32)), "lang": pa.array([lang] * len(g)), "g": pa.array(g.view(np.int64))}) for batch in text_slices(table.combine_chunks().to_batches()) for lang, _, texts in _by_language(batch) for g in [np.unique(_grams(texts)[0])]]
         return pa.concat_tables(parts) if parts else pa.table({"chunk": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "g": pa.array([], pa.int64())})
 
     def answer(key, table, told):

@@ -184,3 +184,21 @@ def test_passage_twice_in_the_first_document(table):
     rows = [(1, f"{' '.join(part[:30])} {prose(1, 60)} {' '.join(part)} {prose(2, 40)}"), (2, f"{prose(3, 50)} {' '.join(part)}")]
     out = {r["doc_id"]: r for r in repeated_passages(table(rows)).collect()}
     assert [(out[i]["n_repeated"], out[i]["n_dropped"]) for i in (1, 2)] == [(60, 0), (60, 60)]
+
+
+def sentences(r, words, n):
+    some = [r.choice(words) for _ in range(n)]
+    return " ".join((w.capitalize() if i % 8 == 0 else w) + ("." if i % 8 == 7 else "") for i, w in enumerate(some))
+
+
+def running_case(spark, more):
+    r = random.Random(6)
+    words = ["".join(r.choice(["an", "the", "on", "er", "in", "re", "st", "al"]) for _ in range(k % 3 + 1)) for k in range(60)]
+    rows = [(i, sentences(r, words, 80), "en", "s", 1) for i in range(300)] + [(1000 + i, t, "en", "s", 1) for i, t in enumerate(more(r, words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return {x["doc_id"]: x["kept"] for x in classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")).collect()}
+
+
+def test_repeated_words_are_junk(spark):
+    kept = running_case(spark, lambda r, words: [" ".join([w.capitalize()] * 60) for w in words[:10]])
+    assert not any(kept[1000 + i] for i in range(10)) and sum(kept[i] for i in range(300)) >= 297
