@@ -6,7 +6,8 @@ One scan counts the 4-grams of all documents, so what is gathered grows with the
 grams that will be asked for. Counts and continuation counts of each order are sharded by (language, gram) and joined by
 shuffles; the joins give the probability of every gram asked for. A document's perplexity is that of its
 units and of some usual ones of its language. Documents far above the usual held-out trusted
-document of their language, in terms of two quantiles, are rejected.
+document of their language, in terms of two quantiles, are rejected; so are those whose worst ``WORST_WORDS`` words in a row are
+far above the usual worst words, since a few words don't show in a whole document.
 
 The probabilities of all grams are broadcast to the scoring scan if their counted size allows it; otherwise documents are
 dealt in chunks and each chunk gets the grams it has. Both give the same scores.
@@ -38,6 +39,8 @@ SPREAD = 8.0
 PRIOR_UNITS = 60
 #: Words of the window whose surprise a few odd words show in.
 WORST_WORDS = 6
+#: As ``SPREAD``, for that window.
+WORST_SPREAD = 2.0
 #: Text bytes of a chunk.
 CHUNK_BYTES = 24 << 20
 START, END = "￾", "￿"
@@ -201,17 +204,19 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
     return dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(answer, SCORED)
 
 
-def classify(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """Per row: doc_id, h, lang, units, perplexity (of a unit), threshold (its language's), kept."""
+def classify(docs: DataFrame, labels: DataFrame, spread: float = SPREAD, worst_spread: float = WORST_SPREAD) -> DataFrame:
+    """Per row: doc_id, h, lang, units, perplexity (of a unit), threshold (its language's), worst, worst_threshold (of a few words), kept."""
     rows = stored(score(docs, labels), "scores")
     held = rows.where("held and logp is not null")
     usual = held.groupBy(F.col("lang").alias("u")).agg(F.try_divide(-F.sum("logp"), F.sum("units")).alias("usual"))
     rows = rows.join(F.broadcast(usual), F.col("lang") == F.col("u"), "left")  # a row for each language code
     rows = rows.withColumn("perplexity", F.exp((PRIOR_UNITS * F.col("usual") - F.col("logp")) / (F.col("units") + PRIOR_UNITS)))
     at = F.percentile_approx("perplexity", list(QUANTILES), 100_000)
-    limits = rows.where("held and perplexity is not null").groupBy(F.col("lang").alias("l")).agg(at.alias("q")).select("l", (F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
+    at_worst = F.percentile_approx("worst", list(QUANTILES), 100_000)
+    above = lambda q, times, name: (F.col(q)[0] + times * (F.col(q)[1] - F.col(q)[0])).alias(name)
+    limits = rows.where("held and perplexity is not null").groupBy(F.col("lang").alias("l")).agg(at.alias("q"), at_worst.alias("w")).select("l", above("q", spread, "threshold"), above("w", worst_spread, "worst_threshold"))
     out = rows.join(F.broadcast(limits), F.col("lang") == F.col("l"), "left")  # likewise
-    return out.select("doc_id", "h", "lang", "units", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "h", "lang", "units", "perplexity", "threshold", "worst", "worst_threshold", F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold")), F.lit(True)).alias("kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFrame:

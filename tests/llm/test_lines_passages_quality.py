@@ -202,3 +202,12 @@ def running_case(spark, more):
 def test_repeated_words_are_junk(spark):
     kept = running_case(spark, lambda r, words: [" ".join([w.capitalize()] * 60) for w in words[:10]])
     assert not any(kept[1000 + i] for i in range(10)) and sum(kept[i] for i in range(300)) >= 297
+
+
+def test_a_few_odd_words_in_a_long_text(spark):
+    def more(r, words):
+        text = sentences(r, words, 800).split()
+        return [" ".join(text), " ".join([*text[:400], "zqxjk", "wpfvyb", "kgdq", *text[400:]])]
+
+    kept = running_case(spark, more)
+    assert kept[1000] and not kept[1001] and sum(kept[i] for i in range(300)) >= 290
