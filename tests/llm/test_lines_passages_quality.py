@@ -211,3 +211,13 @@ def test_a_few_odd_words_in_a_long_text(spark):
 
     kept = running_case(spark, more)
     assert kept[1000] and not kept[1001] and sum(kept[i] for i in range(300)) >= 290
+
+
+@pytest.mark.parametrize("swap", [False, True])
+@pytest.mark.parametrize("more", [8, 12])
+def test_passage_with_words_inserted(table, swap, more):
+    part = prose(7, 92).split()
+    longer = part[:46] + prose(50, more).split() + part[46:]
+    one, two = (longer, part) if swap else (part, longer)
+    out = {r["doc_id"]: r for r in repeated_passages(table([(1, f"{prose(1, 60)} {' '.join(one)}"), (2, f"{' '.join(two)} {prose(2, 70)}")])).collect()}
+    assert (out[1]["n_repeated"], out[2]["n_dropped"]) == (len(one), len(two))
