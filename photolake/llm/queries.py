@@ -120,7 +120,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photolake.llm.passages import repeated_passages
 
     text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"))), ","), F.lit(""))
-    found = repeated_passages(_table(spark, sf_dir, "documents")).where("n_repeated > 0")  # what was found; other documents have no passage
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_repeated", "n_dropped", text("spans").alias("spans"), text("dropped").alias("dropped"))
 
 
