@@ -41,10 +41,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = 0)
     mark = None
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that both sides of the join are plain shuffles, whose large partitions are split
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small-star: every edge points to a smaller node already
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         now = stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         last, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

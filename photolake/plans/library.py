@@ -83,13 +83,13 @@ class Library:
         log = self.log.read()
         seq = (log.agg(F.max("seq")).first()[0] or 0) + 1
         row = self.spark.createDataFrame([(seq, image_id, action, int(time.time()) if now is None else now)], schema.DECISION_LOG)
-        self.log.write(log.unionByName(row))
+        self.log.append(row)
 
     def apply(self, rows: DataFrame) -> None:
         """Append log rows (from ``review``)."""
         log = self.log.read()
         top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_top"))
-        self.log.write(log.unionByName(rows.crossJoin(F.broadcast(top)).withColumn("seq", F.col("seq") + F.col("_top")).select(*log.columns)))
+        self.log.append(rows.crossJoin(F.broadcast(top)).withColumn("seq", F.col("seq") + F.col("_top")).select(*log.columns))
 
     def summary(self) -> DataFrame:
         return review.summary(self.images.read(), self.suggestions.read(), self.decisions())

@@ -32,10 +32,10 @@ def live_decisions(log: DataFrame, name: str, checkpoint: str, **trigger) -> Str
     return latest(log).where("action <> 'clear'").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def live_summary(log: DataFrame, images: DataFrame, suggestions: DataFrame, push: Callable[[Row], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Push the summary once at the start and after each batch of decisions."""
+def live_summary(log: DataFrame, images: DataFrame, suggestions: DataFrame, push: Callable[[Row], None], checkpoint: str, decisions: DataFrame | None = None, **trigger) -> StreamingQuery:
+    """Push the summary once at the start, of the ``decisions`` there are, and after each batch of decisions."""
     spark = images.sparkSession
-    push(summary(images, suggestions, spark.createDataFrame([], schema.DECISIONS)).first())
+    push(summary(images, suggestions, spark.createDataFrame([], schema.DECISIONS) if decisions is None else decisions).first())
 
     def each(batch: DataFrame, _: int) -> None:
         push(summary(images, suggestions, batch.where("action <> 'clear'")).first())
