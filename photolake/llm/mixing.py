@@ -8,8 +8,8 @@ number of distinct lengths, not of documents. Which documents of a length are ta
 hash: a threshold per length, found by counting hash ranges and ranking only inside one of them.
 
 Defined results: null text: size 0; documents of size 0 are never taken. A null source is the last one.
-Rows with the same id, source and text share one decision, so reruns agree; where many such
-rows tie at a threshold, all are taken or none. The empty table gives no rows.
+Rows with the same id, source and text have the same hash; where such rows tie at
+a threshold, the exact number that's lacking is taken of them, and since they are alike reruns agree. The empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,17 +45,21 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         return take
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    rest = budget - int((take * sizes).sum())
     order = np.argsort(-sizes)
+    rest = budget
+    if budget > 2 * DP_WORDS:
+        # a proportional part of each length; some of each is given back, so that the programme has room
+        take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+        take -= np.minimum(take, DP_WORDS // (2 * len(sizes) * sizes))
+        rest = budget - int((take * sizes).sum())
     for i in order:
-        k = min(int(counts[i] - take[i]), max(0, (rest - DP_WORDS) // int(sizes[i])))
+        k = min(int(counts[i] - take[i]), max(0, (rest - 2 * DP_WORDS) // int(sizes[i])))
         take[i] += k
         rest -= k * int(sizes[i])
     left = counts - take
     if not (left > 0).any() or rest <= 0:
         return take
-    cap = rest + int(sizes[left > 0].min())
+    cap = rest + int(sizes[left > 0].max())
     mask = (1 << (cap + 1)) - 1
     reach, before, items = 1, [], []
     for i in order:
@@ -106,8 +110,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame) -> DataFrame:
-    """(source, size, source_size, target, copies, bound): a document of that source and size is taken ``copies``
-    times, and once more if its ticket is at most ``bound``."""
+    """(source, size, source_size, target, copies, bound, within, ties): a document of that source and size is taken ``copies``
+    times, and once more if its ticket is below ``bound``; of the ``ties`` rows at the bound ``within`` are."""
     rows = stored(docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _ticket().alias("ticket")), "tickets")
     ranges = rows.groupBy("source", "size", F.shiftright("ticket", 54).alias("range")).agg(F.count("*").alias("n"))
     ranges = stored(ranges, "ranges")
@@ -123,32 +127,56 @@ def plan_mix(docs: DataFrame) -> DataFrame:
     ends = ends.where("upto >= extra and upto - n < extra").select("s", "z", "range", (F.col("extra") - F.col("upto") + F.col("n")).alias("lacks"))
     ends = stored(ends, "ends")
     inside = rows.withColumn("r", F.shiftright("ticket", 54)).join(small(ends, ends.count(), 64), keys & (F.col("r") == F.col("range")))
-    order = Window.partitionBy("source", "size").orderBy("ticket")
-    bounds = inside.withColumn("k", F.row_number().over(order)).where("k = lacks").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("ticket").alias("bound"))
+    # equal tickets are one row from here on
+    inside = inside.groupBy("source", "size", "ticket", "lacks").agg(F.count("*").alias("ties"))
+    inside = inside.withColumn("upto", F.sum("ties").over(Window.partitionBy("source", "size").orderBy("ticket").rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = inside.where("upto >= lacks and upto - ties < lacks").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("ticket").alias("bound"), (F.col("lacks") - F.col("upto") + F.col("ties")).alias("within"), "ties")
     return fitted.join(bounds, keys, "left").drop("s", "z", "extra")
 
 
-def _taken(docs: DataFrame) -> DataFrame:
-    plan = stored(plan_mix(docs), "plan")
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
-    rows = docs.withColumns({"_words": n_words(docs["text"]), "_ticket": F.xxhash64(F.lit(SEED), docs["doc_id"], docs["text"])})
-    met = rows.join(small(plan, plan.count(), 128), F.col("_source").eqNullSafe(docs["source"].cast("string")) & (F.col("_size") == F.col("_words")), "left")
-    return met.withColumn("_copies", F.coalesce(F.col("_copies") + F.coalesce((F.col("_ticket") <= F.col("_bound")).cast("long"), F.lit(0)), F.lit(0)))
+#: Names of the columns that are added to a user's table while it's mixed.
+OWN = "__mix_"
+
+
+def _taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs`` with ``OWN`` columns: words, source_size, target, copies."""
+    some = plan.where("within < ties").limit(1).count() > 0
+    plan = plan.select(*[F.col(c).alias(OWN + c) for c in plan.columns])
+    own = lambda c: F.col(OWN + c)
+    rows = docs.withColumns({OWN + "words": n_words(docs["text"]), OWN + "ticket": F.xxhash64(F.lit(SEED), docs["doc_id"], docs["text"])})
+    bytes_ = plan.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(own("source")), F.lit(0)) + 80), F.lit(0))).first()[0]
+    met = rows.join(small(plan, bytes_, 1), own("source").eqNullSafe(docs["source"].cast("string")) & (own("size") == own("words")), "left")
+    once = F.coalesce((own("ticket") <= own("bound")).cast("long"), F.lit(0))
+    out = met.withColumn(OWN + "copies", F.coalesce(own("copies") + once, F.lit(0)))
+    if not some:
+        return out
+    tied = F.coalesce((own("ticket") == own("bound")) & (own("within") < own("ties")), F.lit(False))
+    # rows that tie are alike: written with numbers, each part of the table counts its own
+    rest = stored(met.where(tied).withColumn(OWN + "part", F.spark_partition_id()).withColumn(OWN + "at", F.monotonically_increasing_id()), "ties")
+    group = [OWN + "source", OWN + "size"]
+    parts = rest.groupBy(*group, OWN + "part").agg(F.count("*").alias(OWN + "n"))
+    ahead = F.sum(OWN + "n").over(Window.partitionBy(*group).orderBy(OWN + "part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = stored(parts.select(F.col(group[0]).alias(OWN + "s"), F.col(group[1]).alias(OWN + "z"), own("part").alias(OWN + "p"), F.coalesce(ahead, F.lit(0)).alias(OWN + "ahead")), "tieparts")
+    same = own("source").eqNullSafe(own("s")) & (own("size") == own("z")) & (own("part") == own("p"))
+    number = F.row_number().over(Window.partitionBy(*group, OWN + "part").orderBy(OWN + "at")) + own("ahead")
+    counted = rest.join(parts, same).withColumn(OWN + "number", number).withColumn(OWN + "copies", own("copies") + (own("number") <= own("within")).cast("long"))
+    return out.where(~tied).unionByName(counted.select(*out.columns))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken (in words)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
-    met = _taken(docs)
-    known = met.select(F.col("doc_id"), "source", F.col("_words").alias("size"), "_source_size", "_target", (F.col("_copies") * F.col("_words")).alias("taken"))
+    plan = stored(plan_mix(docs), "plan")
+    met = _taken(docs, plan)
+    known = met.select(F.col("doc_id"), "source", F.col(OWN + "words").alias("size"), OWN + "source_size", OWN + "target", (F.col(OWN + "copies") * F.col(OWN + "words")).alias("taken"))
     # documents without words aren't in the plan; their source may be
-    sources = stored(met.where("_source_size is not null").select(F.col("source").alias("_s"), F.col("_source_size").alias("_w"), F.col("_target").alias("_t")).distinct(), "targets")
-    out = known.join(small(sources, sources.count(), 128), F.col("_s").eqNullSafe(F.col("source")), "left")
+    sources = stored(plan.select(F.col("source").alias("_s"), F.col("source_size").alias("_w"), F.col("target").alias("_t")).distinct(), "targets")
+    out = known.join(small(sources, sources.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("_s"), F.lit(0)) + 48), F.lit(0))).first()[0], 1), F.col("_s").eqNullSafe(F.col("source")), "left")
     return out.select("doc_id", "source", "size", F.coalesce("_w", F.lit(0)).alias("source_size"), F.coalesce("_t", F.lit(0.0)).alias("target"), "taken")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     columns = docs.columns
-    met = _taken(docs).where("_copies > 0")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    met = _taken(docs, stored(plan_mix(docs), "plan")).where(F.col(OWN + "copies") > 0)
+    return met.withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(OWN + "copies")))).select(*[F.col(f"`{c}`") for c in columns])
