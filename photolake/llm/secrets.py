@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every text is scanned once for the base secrets and for other strings that look like credentials (long, mixed,
-high entropy). Only hashes of candidates leave the scan. They are counted by repository and owner over the corpus: what
-several owners have is a copied example, what one owner has looks live. Base secrets always stay; other
-candidates become spans of kind ``token`` if they look live.
+high entropy). Only hashes of candidates leave the scan. They are counted by repository and owner over the corpus, each text
+once. What several owners have, or more than ``most_repositories`` repositories of one owner or more than ``most_texts`` different texts,
+is a copied example; the rest is specific to its owner and looks live. Base secrets always stay; other candidates become spans of
+kind ``token`` if they look live.
 
 Defined results: a null text is empty; null owners or repositories are one owner or repository; rows with the same id and text
 have the same spans; an empty table gives no rows.
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photolake.llm.common import stored, text_slices
-from photolake.llm.spans import SECRET_KINDS, digest, secret_spans
+from photolake.llm.common import small, stored, text_slices
+from photolake.llm.spans import SECRET_KINDS, digest, outside, secret_spans
 
 LONG = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 ENTROPY = 3.5
@@ -41,9 +42,8 @@ def looks_random(value: str) -> bool:
 def candidates(text: str) -> list[tuple[tuple[int, int, int], str]]:
     """Base secrets, and strings of kind 3 that look like credentials outside of them."""
     base = secret_spans(text)
-    taken = [(a, b) for (a, _, b), _ in base]
-    more = [((m.start(), 3, m.end()), m[0]) for m in LONG.finditer(text) if looks_random(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken)]
-    return sorted(base + more)
+    more = [(m.start(), m.end(), ((m.start(), 3, m.end()), m[0])) for m in LONG.finditer(text) if looks_random(m[0])]
+    return sorted(base + outside(more, [s for s, _ in base]))
 
 
 def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
@@ -76,13 +76,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("documents").alias("documents"))
 
 
-def find_secrets(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1, most_repositories: int = 3, most_texts: int = 8) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied."""
     rows = stored(scan(docs, owner, repository), "secrets")
     found = rows.select("doc_id", "h", "owner", "repository", F.explode("found").alias("f")).select("doc_id", "h", "owner", "repository", "f.*")
-    owned = ownership(found)
-    live = F.col("owners") <= most_owners
-    told = found.select("doc_id", "h", "kind", "start", "end", "value").distinct().join(owned, "value")
+    is_live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories) & (F.col("documents") <= most_texts)
+    # only what is copied is joined back, from a written table: both sides are plain shuffles, whose large partitions are split
+    texts = found.select("value", "owner", "repository", "h").distinct()
+    copied = stored(ownership(texts).where(~is_live).select(F.col("value").alias("copied")), "copied")
+    n = copied.count()
+    live = F.col("copied").isNull()
+    told = found.select("doc_id", "h", "kind", "start", "end", "value").distinct().join(small(copied, n, 64), F.col("value") == F.col("copied"), "left")
     span = F.struct("start", "kind", "end")
     told = told.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | live, span))).alias("spans"), F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(~live, 1)).alias("n_copied"))
     told = told.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "spans", "n_live", "n_copied")

@@ -72,5 +72,19 @@ def joined(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def outside(spans: list, base: list[Span]) -> list:
+    """What is returned of (start, end, what), in order of start, for those that overlap none of ``base``; one pass over both."""
+    out, at, end = [], 0, 0
+    base = sorted(base)
+    for a, b, x in spans:
+        while at < len(base) and base[at][0] < b:
+            end = max(end, base[at][2])
+            at += 1
+        # base spans that start before b have been seen; one of them overlaps if it ends after a
+        if end <= a:
+            out.append(x)
+    return out
+
+
 def digest(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return hashlib.sha256(joined(spans, kinds).encode()).hexdigest()
