@@ -123,3 +123,80 @@ def test_private_query(table):
     assert by[1]["base_sha256"] == digest(private_spans(rows[0][1]), PRIVATE_KINDS) and by[4]["n_field"] == 0
     assert "name:15:27" in by[1]["spans"].split(",")
     assert find_private(table([])).count() == 0 and SECRET_KINDS[:3] == ("assign", "access", "hex")
+
+
+def test_ownership_against_counting(spark):
+    import random
+
+    r = random.Random(8)
+    keys = ["".join(r.choice("abcdefghABCDEFGH0123456789") for _ in range(24)) for _ in range(12)]
+    rows = [(i, f"word{r.randrange(40)} {r.choice(keys[: 1 + i % 12])} end", r.choice(["a", "b"]) if i % 3 else "a", f"r{r.randrange(1 + i % 6)}") for i in range(160)]
+    out = {x["doc_id"]: x for x in find_secrets(spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string"), F.col("owner"), F.col("repo")).collect()}
+    from photolake.llm.secrets import looks_random
+
+    for i, text, _, _ in rows:
+        key = text.split()[1]
+        own = [x for x in rows if x[1].split()[1] == key]
+        live = len({x[2] for x in own}) <= 1 and len({(x[2], x[3]) for x in own}) <= 3 and len({(x[2], x[3], x[1]) for x in own}) <= 8
+        at = len(text.split()[0]) + 1
+        assert out[i]["spans"] == (f"token:{at}:{at + 24}" if live and looks_random(key) else "")
+
+
+def test_long_texts_take_linear_time(table):
+    import time
+
+    start = time.time()
+    text = " ".join(f"token = {KEY}{i} mail{i}@site.org {KEY[::-1]}{i} +1 (988) 555-2485" for i in range(100_000))
+    assert len(text) > 8_000_000
+    from photolake.llm.secrets import candidates
+
+    assert len(candidates(text)) >= 200_000 and len(private_spans(text)) >= 200_000
+    assert time.time() - start < 15
+
+
+def test_decoding_is_the_full_viterbi_path():
+    import random
+
+    import numpy as np
+
+    from photolake.llm.private_data import MARGIN, repeats
+
+    field, r = trained(), random.Random(2)
+    pool = [w for _, _, w, _ in training_rows()] + ["Zorban", "Milek", "77", "x9", "B12-44", "!!", "Ångström"]
+    found = 0
+    for _ in range(300):
+        # pieces of the table with odd words between
+        words = [w for _ in range(3) for a in [r.randrange(len(pool))] for w in [*pool[a : a + r.randrange(1, 9)], r.choice(pool)]]
+        words = [w for w in words for _ in range(1 + (r.random() < 0.15))]
+        names = list(dict.fromkeys(words))
+        codes = np.array([names.index(w) for w in words])
+        spots, labels = field.decode(codes, names, np.array([0, len(codes)]))
+        got = np.zeros(len(codes), int)
+        got[spots] = labels
+        own = [field.features("\x00"), *map(field.features, words), field.features("\x00")]
+        emit = np.array([sum(field.w[p, k] for p in range(3) for k in own[t + p]) for t in range(len(words))]) + field.r[repeats(codes, np.array([0, len(codes)]))]
+        emit[:, 0] += MARGIN
+        assert (got == field.viterbi(emit[None], np.array([len(words)]))[0]).all()
+        found += (got > 0).any()
+    assert found > 50
+
+
+def test_held_out_lines_of_the_table():
+    import numpy as np
+
+    rows = training_rows()
+    right = wrong = missed = 0
+    for k in range(4):
+        held = {s for s, *_ in rows if s % 8 == k}
+        field = Field([x for x in rows if x[0] not in held], rounds=100)
+        for s in held:
+            own = sorted(x for x in rows if x[0] == s)
+            names = list(dict.fromkeys(x[2] for x in own))
+            spots, labels = field.decode(np.array([names.index(x[2]) for x in own]), names, np.array([0, len(own)]))
+            got = dict(zip(spots.tolist(), labels.tolist(), strict=True))
+            for i, x in enumerate(own):
+                gold = LABELS.index(x[3])
+                right += gold > 0 and got.get(i, 0) == gold
+                wrong += got.get(i, 0) not in (0, gold)
+                missed += gold > 0 and got.get(i, 0) != gold
+    assert right / (right + wrong) >= 0.85 and right / (right + missed) >= 0.85
