@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from photolake.llm.common import FastSketch, UnionFind, band_keys, components, hash_strings, mix, plan_bands, shingle_hashes, small, split_words, stored, text_slices
 
 BANDS = 48
-#: A component with at most so many shingles over its classes is settled in one task; also the size of a block.
+#: A component with at most so many shingles over its classes is settled in one task; a block of a larger one has an eighth.
 TASK_SHINGLES = 2_000_000
+#: Shuffle partitions that the blocks of large components are dealt over at most.
+MOST_TASKS = 20_000
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -153,7 +155,9 @@ def _block_linker(make, num: int, den: int):
 
 def _settle_large(members: DataFrame, make, num: int, den: int) -> DataFrame:
     """(rep, component_id) of components too large for one task: members has doc_id, text, comp, n_shingles."""
-    sizes = members.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / TASK_SHINGLES).alias("blocks"))
+    sizes = members.groupBy("comp").agg(F.ceil(8 * F.sum("n_shingles") / TASK_SHINGLES).alias("blocks"))
+    # a task for each block: its bytes are few for its work, so adaptive execution would merge all
+    tasks = min(max(2, 2 * (sizes.agg(F.sum("blocks")).first()[0] or 1)), MOST_TASKS)
     members = stored(members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))), "members")
     state = stored(members.select("comp", "blocks", "doc_id", "n_shingles", F.col("doc_id").alias("label"), F.lit(False).alias("done")), "state")
     step = 0
@@ -175,6 +179,7 @@ def _settle_large(members: DataFrame, make, num: int, den: int) -> DataFrame:
             continue
         pivots = chosen.join(members.select("doc_id", "text"), "doc_id").select(F.col("comp").alias("comp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(c) for c in ("doc_id", "text", "label")))
         parts = members.join(state.select("doc_id", "label"), "doc_id").select(*(F.col(c).alias(c) for c in ("comp", "block", "doc_id", "text", "label")))
+        parts, pivots = (x.repartition(tasks, "comp", "block") for x in (parts, pivots))
         found = parts.groupBy("comp", "block").cogroup(pivots.groupBy("comp", "block")).applyInArrow(_block_linker(make, num, den), "a long, b long")
         merged = components(found).withColumnRenamed("node", "label")
         state = state.join(chosen.select("doc_id", F.lit(True).alias("now")), "doc_id", "left").join(merged, "label", "left")
@@ -189,7 +194,8 @@ def settle(texts: DataFrame, make, num: int, den: int) -> DataFrame:
     light = texts.join(heavy, "comp", "left_anti").select("comp", "doc_id", "text")
     # buckets of whole components, of about a task's size each
     buckets = math.ceil((texts.agg(F.sum("n_shingles")).first()[0] or 0) / TASK_SHINGLES) + 1
-    settled = light.groupBy(F.pmod(F.xxhash64("comp"), F.lit(buckets))).applyInArrow(_resolver(make, num, den), "rep long, component_id long")
+    light = light.withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).repartition(min(max(2, 2 * buckets), MOST_TASKS), "bucket")
+    settled = light.groupBy("bucket").applyInArrow(_resolver(make, num, den), "rep long, component_id long")
     if heavy.limit(1).count():
         settled = settled.union(_settle_large(texts.join(heavy, "comp", "left_semi"), make, num, den))
     return settled
