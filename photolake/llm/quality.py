@@ -5,9 +5,9 @@ an end mark, one space stands between words), one model for each language, train
 One scan counts the 4-grams of all documents, so what is gathered grows with the corpus: counts of trusted text and the
 grams that will be asked for. Counts and continuation counts of each order are sharded by (language, gram) and joined by
 shuffles; the joins give the probability of every gram asked for. A document's perplexity is that of its
-units and of some usual ones of its language. Documents far above the usual held-out trusted
-document of their language, in terms of two quantiles, are rejected; so are those whose worst ``WORST_WORDS`` words in a row are
-far above the usual worst words, since a few words don't show in a whole document.
+units and of some usual ones of its language. Documents above the ``QUANTILE`` of the perplexities of the held-out trusted documents of
+their language are rejected; so are those whose ``WORST_WORDS`` most surprising words, by their surprise for a unit, are together above the
+``WORST_QUANTILE`` of what trusted ones have, since a few words don't show in a whole document.
 
 The probabilities of all grams are broadcast to the scoring scan if their counted size allows it; otherwise documents are
 dealt in chunks and each chunk gets the grams it has. Both give the same scores.
@@ -32,15 +32,15 @@ from photolake.llm.common import BROADCAST_BYTES, small, split_words, stored, te
 ORDER = 4
 #: One trusted document in so many sets the thresholds instead of the counts.
 FOLD = 4
-#: The threshold is so many times the spread between these quantiles above the lower one.
-QUANTILES = (0.5, 0.9)
-SPREAD = 8.0
+#: The thresholds: parts of a language's held-out trusted documents that stay below.
+QUANTILE = 0.99
+WORST_QUANTILE = 0.995
+#: A quantile of n documents is raised by this, over the root of n, times its distance from the median: with few documents it's uncertain.
+ALLOWANCE = 2.0
 #: Units of a language's usual text that are added to each document, so that a few odd words don't decide on short ones.
 PRIOR_UNITS = 60
-#: Words of the window whose surprise a few odd words show in.
-WORST_WORDS = 6
-#: As ``SPREAD``, for that window.
-WORST_SPREAD = 2.0
+#: Words whose surprise counts apart from the whole document's.
+WORST_WORDS = 3
 #: Text bytes of a chunk.
 CHUNK_BYTES = 24 << 20
 START, END = "￾", "￿"
@@ -86,15 +86,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _worst(surprise: np.ndarray, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """For each of n texts the most surprise of ``WORST_WORDS`` words in a row, or of the whole text if it has fewer."""
+    """For each of n texts the surprise for a unit of its ``WORST_WORDS`` most surprising words, added up."""
     last = grams & np.uint64(LOW)
     ends = np.flatnonzero((last == np.uint64(0x20)) | (last == np.uint64(LOW)))
     whose = owner[ends]
-    total = np.concatenate(([0.0], np.cumsum(surprise)))[np.concatenate(([0], ends + 1))]
-    first = np.searchsorted(whose, whose)  # the text's first word
-    start = np.maximum(np.arange(len(ends)) - WORST_WORDS + 1, first)
+    cuts = np.concatenate(([0], ends + 1))
+    each = np.diff(np.concatenate(([0.0], np.cumsum(surprise)))[cuts]) / np.diff(cuts)
+    order = np.lexsort((-each, whose))
+    place = np.arange(len(order)) - np.searchsorted(whose, whose)  # in a text, whose words stand together
     worst = np.zeros(n)
-    np.maximum.at(worst, whose, total[1:] - total[start])
+    some = place < WORST_WORDS
+    np.add.at(worst, whose[order][some], each[order][some])
     return worst
 
 
@@ -204,23 +206,23 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = BROADCAST_B
     return dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(answer, SCORED)
 
 
-def classify(docs: DataFrame, labels: DataFrame, spread: float = SPREAD, worst_spread: float = WORST_SPREAD) -> DataFrame:
-    """Per row: doc_id, h, lang, units, perplexity (of a unit), threshold (its language's), worst, worst_threshold (of a few words), kept."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, worst_quantile: float = WORST_QUANTILE) -> DataFrame:
+    """Per row: doc_id, h, lang, units, perplexity (of a unit), threshold (its language's), worst, worst_threshold (of the most surprising words), kept."""
     rows = stored(score(docs, labels), "scores")
     held = rows.where("held and logp is not null")
     usual = held.groupBy(F.col("lang").alias("u")).agg(F.try_divide(-F.sum("logp"), F.sum("units")).alias("usual"))
     rows = rows.join(F.broadcast(usual), F.col("lang") == F.col("u"), "left")  # a row for each language code
     rows = rows.withColumn("perplexity", F.exp((PRIOR_UNITS * F.col("usual") - F.col("logp")) / (F.col("units") + PRIOR_UNITS)))
-    at = F.percentile_approx("perplexity", list(QUANTILES), 100_000)
-    at_worst = F.percentile_approx("worst", list(QUANTILES), 100_000)
-    above = lambda q, times, name: (F.col(q)[0] + times * (F.col(q)[1] - F.col(q)[0])).alias(name)
-    limits = rows.where("held and perplexity is not null").groupBy(F.col("lang").alias("l")).agg(at.alias("q"), at_worst.alias("w")).select("l", above("q", spread, "threshold"), above("w", worst_spread, "worst_threshold"))
+    at = lambda c, q, name: F.percentile_approx(c, [0.5, q], 100_000).alias(name)
+    limits = rows.where("held and perplexity is not null").groupBy(F.col("lang").alias("l")).agg(at("perplexity", quantile, "q"), at("worst", worst_quantile, "w"), F.count("*").alias("n"))
+    above = lambda q, name: (F.col(q)[1] + ALLOWANCE / F.sqrt("n") * (F.col(q)[1] - F.col(q)[0])).alias(name)
+    limits = limits.select("l", above("q", "threshold"), above("w", "worst_threshold"))
     out = rows.join(F.broadcast(limits), F.col("lang") == F.col("l"), "left")  # likewise
     return out.select("doc_id", "h", "lang", "units", "perplexity", "threshold", "worst", "worst_threshold", F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold")), F.lit(True)).alias("kept"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, worst_quantile: float = WORST_QUANTILE) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    bad = stored(classify(docs, labels, spread).where("not kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("lang").alias("_l")).distinct(), "rejected")
+    bad = stored(classify(docs, labels, quantile, worst_quantile).where("not kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("lang").alias("_l")).distinct(), "rejected")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h")) & (F.coalesce(docs["lang"].cast("string"), F.lit("")) == F.col("_l"))
     return docs.join(small(bad, bad.count(), 48), same, "left_anti")
