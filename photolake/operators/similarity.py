@@ -71,6 +71,7 @@ def hamming_pairs(images: DataFrame, radius: int, column: str = "dhash", strateg
 
 def image_pairs(images: DataFrame, radius: int) -> DataFrame:
     """(a, b, dist) of image ids a < b within ``radius``, equal hashes included."""
+    images = stored(images.select("id", "dhash"), "dhashes")
     pairs = hamming_pairs(images, radius)
     i, j = images.select(F.col("id").alias("a"), F.col("dhash").alias("ha")), images.select(F.col("id").alias("b"), F.col("dhash").alias("hb"))
     equal = i.join(j, F.col("ha") == F.col("hb")).where("a < b").select("a", "b", F.lit(0).alias("dist"))

@@ -380,17 +380,18 @@ def deletion_tally(spark, sf_dir):
     return manifest.tally(met.select("id", F.coalesce("action", F.lit("none")).alias("outcome")), 500)
 
 
-@query()
+@query(f"{IM} SELECT image_id, action, decided_at_unix FROM dec")
 def decision_stream(spark, sf_dir):
     """The decision log replayed through Structured Streaming; its final state."""
     import uuid
 
+    from photolake.operators.graph import numbered
     from photolake.storage import new_path
     from photolake.streaming.decisions import live_decisions, read_log
 
     log = views.decision_log(spark, sf_dir)
     path = new_path(spark, "log")
-    log.withColumn("seq", F.col("seq.col1") if "col1" in log.schema["seq"].dataType.names else F.col("seq")[log.schema["seq"].dataType.names[0]]).write.json(path)
+    numbered(log, "seq", column="n").withColumn("seq", F.col("n")).drop("n").write.json(path)
     name = f"decisions_{uuid.uuid4().hex}"
     live_decisions(read_log(spark, path), name, new_path(spark, "stream")).awaitTermination()
     return spark.table(name)

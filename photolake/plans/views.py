@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake import schema
+from photolake.storage import stored
 
 IMAGES = """
 WITH b AS (SELECT doc_id, lang, source, n_chars, sha2(text,256) AS sha FROM documents),
@@ -61,7 +62,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(IMAGES.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
     fill = {"mtime_unix": F.col("taken_at_unix"), "scanned_at_unix": F.lit(0).cast("long"), "gphotos_url": F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("https://photos.example/"), F.col("id").cast("string"))), "content_label": F.lit(""), "content_score": F.lit(0.0)}
-    return rows.withColumns(fill).select(*schema.IMAGES.fieldNames())
+    # written, as an image table is: the hashes are computed once however often a query reads it
+    return stored(rows.withColumns(fill).select(*schema.IMAGES.fieldNames()), "images")
 
 
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
