@@ -32,15 +32,17 @@ from photolake.llm.common import BROADCAST_BYTES, small, split_words, stored, te
 ORDER = 4
 #: One trusted document in so many sets the thresholds instead of the counts.
 FOLD = 4
+#: Words whose surprise counts apart from the whole document's.
+WORST_WORDS = 3
 #: The thresholds: parts of a language's held-out trusted documents that stay below.
 QUANTILE = 0.99
 WORST_QUANTILE = 0.995
-#: A quantile of n documents is raised by this, over the root of n, times its distance from the median: with few documents it's uncertain.
-ALLOWANCE = 2.0
+#: The threshold of the most surprising words is this at least, 3 nats for a unit of each: less is no odd word, however few words a language has.
+LEAST_WORST = 3.0 * WORST_WORDS
+#: A quantile of n documents is raised by this, over n, times its distance from the median: a few documents hardly reach it.
+ALLOWANCE = 25.0
 #: Units of a language's usual text that are added to each document, so that a few odd words don't decide on short ones.
 PRIOR_UNITS = 60
-#: Words whose surprise counts apart from the whole document's.
-WORST_WORDS = 3
 #: Text bytes of a chunk.
 CHUNK_BYTES = 24 << 20
 START, END = "￾", "￿"
@@ -215,8 +217,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, wor
     rows = rows.withColumn("perplexity", F.exp((PRIOR_UNITS * F.col("usual") - F.col("logp")) / (F.col("units") + PRIOR_UNITS)))
     at = lambda c, q, name: F.percentile_approx(c, [0.5, q], 100_000).alias(name)
     limits = rows.where("held and perplexity is not null").groupBy(F.col("lang").alias("l")).agg(at("perplexity", quantile, "q"), at("worst", worst_quantile, "w"), F.count("*").alias("n"))
-    above = lambda q, name: (F.col(q)[1] + ALLOWANCE / F.sqrt("n") * (F.col(q)[1] - F.col(q)[0])).alias(name)
-    limits = limits.select("l", above("q", "threshold"), above("w", "worst_threshold"))
+    above = lambda q, name: (F.col(q)[1] + ALLOWANCE / F.col("n") * (F.col(q)[1] - F.col(q)[0])).alias(name)
+    limits = limits.select("l", above("q", "threshold"), F.greatest(above("w", "worst_threshold"), F.lit(LEAST_WORST)).alias("worst_threshold"))
     out = rows.join(F.broadcast(limits), F.col("lang") == F.col("l"), "left")  # likewise
     return out.select("doc_id", "h", "lang", "units", "perplexity", "threshold", "worst", "worst_threshold", F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold")), F.lit(True)).alias("kept"))
 
