@@ -23,12 +23,15 @@ NESTED_LOOP = 50_000
 #: Radius up to which bands prune enough.
 BANDED = 7
 BLOCK = 8192
+#: Hashes of a task of the nested loop.
+NESTED_TASK = 4096
 #: Up to so many pairs (16 bytes each) are joined to clusters in one task.
 ONE_TASK = 500_000
 
 
-def _nested(h: DataFrame, r: int) -> DataFrame:
-    pairs = h.alias("x").join(F.broadcast(h.alias("y")), (F.col("x.h") < F.col("y.h")) & (hamming(F.col("x.h"), F.col("y.h")) <= r))
+def _nested(h: DataFrame, r: int, n: int) -> DataFrame:
+    # the hashes are few bytes for their work, which would be one task
+    pairs = h.repartition(math.ceil(n / NESTED_TASK)).alias("x").join(F.broadcast(h.alias("y")), (F.col("x.h") < F.col("y.h")) & (hamming(F.col("x.h"), F.col("y.h")) <= r))
     return pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), hamming(F.col("x.h"), F.col("y.h")).cast("int").alias("dist"))
 
 
@@ -57,7 +60,8 @@ def _blocks(h: DataFrame, r: int, n: int) -> DataFrame:
 
     own = F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")
     left = h.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(parts - 1))))
-    right = h.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
+    # a column of its own: one that both sides have is pruned from the second where a join takes the pairs
+    right = h.select(F.col("h").alias("h"), own.alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "a long, b long, dist int")
 
 
@@ -66,7 +70,7 @@ def hamming_pairs(images: DataFrame, radius: int, column: str = "dhash", strateg
     h = stored(images.select(F.col(column).alias("h")).where("h is not null").distinct(), "hashes")
     n = h.count()
     strategy = strategy or ("nested" if n <= NESTED_LOOP else "banded" if radius <= BANDED else "blocks")
-    return {"nested": lambda: _nested(h, radius), "banded": lambda: _banded(h, radius), "blocks": lambda: _blocks(h, radius, max(n, 1))}[strategy]()
+    return {"nested": lambda: _nested(h, radius, max(n, 1)), "banded": lambda: _banded(h, radius), "blocks": lambda: _blocks(h, radius, max(n, 1))}[strategy]()
 
 
 def image_pairs(images: DataFrame, radius: int) -> DataFrame:

@@ -163,6 +163,20 @@ def test_pairs_against_brute_force(spark, strategy, radius):
     assert got == want
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_image_pairs_of_many_blocks(spark, monkeypatch, few):
+    monkeypatch.setattr(similarity, "NESTED_LOOP", few)
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    monkeypatch.setattr(similarity, "NESTED_TASK", 50)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    h = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 80).astype(np.uint64)) for _ in range(3)] + [base[:20]]).view(np.int64)
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(h)] + [(900, None)], "id long, dhash long")
+    far = lambda a, b: int(np.bitwise_count(h[a].view(np.uint64) ^ h[b].view(np.uint64)))
+    want = [(a, b, far(a, b)) for b in range(len(h)) for a in range(b) if far(a, b) <= 12]
+    assert sorted(tuple(r) for r in similarity.image_pairs(df, 12).collect()) == sorted(want)
+
+
 def test_components_chain_and_numbering(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 300)] + [(500, 501), (500, 500)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(chain).collect()}
