@@ -5,7 +5,7 @@
 2. Lines that share a band key inside a slice of texts are tied to the first of them at once; one row for each key and
    slice is shuffled, so a very common line or template costs a row for each slice. Sorted by key, these are
    tied to the first of each key by a stream that remembers one row.
-3. Inside the components of these ties links are confirmed by the exact Jaccard similarity of the shingle sets, and
+3. Large components of these ties are parted by longer sketches (``near_dup.parted``). Inside the components links are confirmed by the exact Jaccard similarity of the shingle sets, and
    union-find over the confirmed links gives the components.
 4. Of each component the first line by (doc_id, text's hash, line number) stays.
 
@@ -29,6 +29,8 @@ from photolake.llm.near_dup import settle
 
 WIDTH = 8
 BANDS, ROWS = 12, 4
+#: Bands that part large components.
+PART_BANDS = 16
 NUM, DEN = 8, 10
 BLANKS = " \t\r\x0b\x0c"
 
@@ -138,7 +140,7 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = lines.join(small(loose, loose.count(), 48), F.col("doc_id") == F.col("id"))
     texts = wanted.groupBy("doc_id", "comp").agg(F.first("text").alias("text"))
     texts = stored(texts.withColumn("n_shingles", F.length("text").cast("long")), "texts")
-    settled = settle(texts, line_sets, NUM, DEN)
+    settled = settle(texts, line_sets, NUM, DEN, PART_BANDS)
     return scanned.select("doc_id", "h", "numbers", "ids"), stored(settled.select(F.col("rep").alias("id"), F.col("component_id").alias("component")), "components")
 
 

@@ -5,8 +5,10 @@
 2. Classes that share a band key are tied to the key's least class: a star for each bucket, never
    its pairs. The components of these stars hold every link that banding can find.
 3. Inside each such component links are confirmed on the full sets. A component whose sets fit
-   one task is settled there; a larger one is cut into blocks that are compared with pivots,
-   round by round, until no link can be missing. Both give the components of all true links.
+   one task is settled there. A larger one is first parted: chance ties of unlike sets, which grow with the
+   square of the table, hold most of it together, so only sets that share a key of few rows and much of a longer
+   sketch stay tied. What is large still is cut into blocks that are compared with pivots,
+   round by round, until no link can be missing. All give the components of all true links.
 
 Defined results: null id: the row is its own, unlinked. Null or wordless text: no shingles, linked
 with nothing. Repeated rows of one id: each row is returned, linked as one document. A null id
@@ -23,11 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolake.llm.common import FastSketch, UnionFind, band_keys, components, hash_strings, mix, plan_bands, shingle_hashes, small, split_words, stored, text_slices
+from photolake.llm.common import FastSketch, UnionFind, band_keys, band_table, components, hash_strings, mix, plan_bands, runs, shingle_hashes, sketch_rows, small, split_words, stored, text_slices
 
 BANDS = 48
 #: A component with at most so many shingles over its classes is settled in one task; a block of a larger one has an eighth.
 TASK_SHINGLES = 2_000_000
+#: Bands of ``PART_ROWS`` that part large components: a link at 0.8 shares none with chance 4e-8 (16 bands: 1e-5).
+PART_BANDS, PART_ROWS = 24, 3
+#: Part (of 12) of its sketch's entries that a link at 0.8 or above has in common, but for chances under 1e-7.
+PART_NEAR = 5
+#: A key that more sets share ties them without a comparison.
+MOST_COMPARED = 20_000
 #: Shuffle partitions that the blocks of large components are dealt over at most.
 MOST_TASKS = 20_000
 
@@ -187,8 +195,86 @@ def _settle_large(members: DataFrame, make, num: int, den: int) -> DataFrame:
     return state.select(F.col("doc_id").alias("rep"), F.col("label").alias("component_id"))
 
 
-def settle(texts: DataFrame, make, num: int, den: int) -> DataFrame:
-    """(rep, component_id): components by exact links inside each candidate component; texts: doc_id, comp, text, n_shingles (stored)."""
+def _sketched(make, bands: int):
+    """(key, node, sketch) of each band of each text; a byte of each entry of the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            sets = list(make(batch))
+            n = len(sets)
+            sketch = sketch_rows(np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets]), n, bands * PART_ROWS)
+            keys = mix(band_table(sketch, bands, PART_ROWS) ^ mix(batch.column("comp").to_numpy().view(np.uint64))[:, None]).reshape(-1)
+            low = mix(sketch).astype(np.uint8).tobytes()
+            wide = bands * PART_ROWS
+            each = pa.array([low[i * wide : (i + 1) * wide] for i in range(n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), bands)), each.take(pa.array(np.repeat(np.arange(n), bands)))], names=["key", "node", "sketch"])
+
+    return run
+
+
+def near_ties(nodes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Of one key's sets: each with the first of those that a chain of near sketches leads to."""
+    need = PART_NEAR * sketches.shape[1]
+    near = lambda rows, p: 12 * (sketches[rows] == sketches[p]).sum(1) >= need
+    out, left = [], np.arange(len(nodes))
+    while len(left):
+        head, front, left = left[0], [left[0]], left[1:]
+        while front and len(left):
+            hit = near(left, front.pop()) if len(nodes) <= MOST_COMPARED else np.ones(len(left), bool)
+            found, left = left[hit], left[~hit]
+            out += [(int(nodes[x]), int(nodes[head])) for x in found]
+            front += found.tolist()
+    return out
+
+
+def _near_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: ``near_ties`` of each key."""
+    rest = None
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        nodes = table.column("node").to_numpy()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
+        head = runs(table.column("key").to_numpy())
+        later = np.flatnonzero(head != np.arange(len(head)))
+        # most keys' sets are all near the first one
+        alike = 12 * (sketches[later] == sketches[head[later]]).sum(1) >= PART_NEAR * sketches.shape[1]
+        mixed = np.isin(head[later], head[later[~alike]])
+        a, b = nodes[later[~mixed]].tolist(), nodes[head[later[~mixed]]].tolist()
+        for at in np.unique(head[later[mixed]]).tolist():
+            end = int(np.searchsorted(head, at, side="right"))
+            for x, y in near_ties(nodes[at:end], sketches[at:end]):
+                a.append(x)
+                b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        # the last key may go on
+        key = table.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        rest = table.slice(cut)
+        if cut:
+            yield whole(table.slice(0, cut))
+    if rest is not None:
+        yield whole(rest)
+
+
+def parted(texts: DataFrame, make, bands: int) -> DataFrame:
+    """``texts`` of large components with the smaller ``comp`` that each is in, without those that nothing is tied to."""
+    keys = texts.select("comp", "doc_id", "text").mapInArrow(_sketched(make, bands), "key long, node long, sketch binary")
+    ties = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_ties, "a long, b long")
+    found = stored(components(ties).select(F.col("node").alias("id"), F.col("component").alias("part")), "parts")
+    return texts.join(small(found, found.count(), 48), F.col("doc_id") == F.col("id")).select("doc_id", F.col("part").alias("comp"), "text", "n_shingles")
+
+
+def settle(texts: DataFrame, make, num: int, den: int, bands: int = PART_BANDS, part: bool = True) -> DataFrame:
+    """(rep, component_id): components by exact links inside each candidate component; texts: doc_id, comp, text, n_shingles (stored).
+
+    Texts that are found to be linked with nothing may be left out.
+    """
     heavy = texts.groupBy("comp").agg(F.sum("n_shingles").alias("total")).where(F.col("total") > TASK_SHINGLES).select("comp")
     heavy = stored(heavy, "heavy")
     light = texts.join(heavy, "comp", "left_anti").select("comp", "doc_id", "text")
@@ -197,7 +283,8 @@ def settle(texts: DataFrame, make, num: int, den: int) -> DataFrame:
     light = light.withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).repartition(min(max(2, 2 * buckets), MOST_TASKS), "bucket")
     settled = light.groupBy("bucket").applyInArrow(_resolver(make, num, den), "rep long, component_id long")
     if heavy.limit(1).count():
-        settled = settled.union(_settle_large(texts.join(heavy, "comp", "left_semi"), make, num, den))
+        large = texts.join(heavy, "comp", "left_semi")
+        settled = settled.union(settle(stored(parted(large, make, bands), "parted"), make, num, den, bands, False) if part else _settle_large(large, make, num, den))
     return settled
 
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from photolake.llm import line_dedup
+from photolake.llm import line_dedup, near_dup
 from photolake.llm import passages as passages_module
 from photolake.llm.line_dedup import drop_lines, repeated_lines
 from photolake.llm.passages import compact_windows, repeated_passages
@@ -221,3 +221,28 @@ def test_passage_with_words_inserted(table, swap, more):
     one, two = (longer, part) if swap else (part, longer)
     out = {r["doc_id"]: r for r in repeated_passages(table([(1, f"{prose(1, 60)} {' '.join(one)}"), (2, f"{' '.join(two)} {prose(2, 70)}")])).collect()}
     assert (out[1]["n_repeated"], out[2]["n_dropped"]) == (len(one), len(two))
+
+
+def test_lines_of_a_component_held_together_by_chance_are_parted(table, monkeypatch):
+    # every key ties each of its lines to one common line, as chance ties do in large tables
+    def tied(*_):
+        raise AssertionError("unlike lines are compared pair by pair")
+
+    rows = line_case() + [(100 + i, prose(200 + i, 40)) for i in range(60)]
+    one = line_dedup.components
+    chance = lambda ties: one(ties.union(ties.select("a", ties["b"] * 0)).union(ties.select("b", ties["b"] * 0)))
+    monkeypatch.setattr(line_dedup, "components", chance)
+    monkeypatch.setattr(near_dup, "TASK_SHINGLES", 3_000)
+    monkeypatch.setattr(near_dup, "_settle_large", tied)
+    rows = [(i, t) for i, t in rows if i not in (43, 44)]
+    got = {r["doc_id"]: list(r["dropped"]) for r in repeated_lines(table(rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_chains_of_near_sketches_stay_together():
+    r = np.random.default_rng(1)
+    one = r.integers(0, 256, 48, dtype=np.uint8)
+    two, three, other = one.copy(), one.copy(), r.integers(0, 256, 48, dtype=np.uint8)
+    two[:20] += 1
+    three[:40] += 1
+    assert sorted(near_dup.near_ties(np.array([4, 5, 6, 7, 8]), np.stack([one, three, other, two, other]))) == [(5, 4), (7, 4), (8, 6)]
