@@ -5,15 +5,13 @@
    minimum at c. So two passages whose minima agree have windows with the same pivot hash, and a passage
    with similarity J is found with chance 1 - (1 - J)^HASHES, an equal one always. Shingles of one repeated word, which many
    texts have in different contexts, come last in every order: they are pivots of passages of nothing else.
-2. Windows with the same pivot hash inside a slice of texts are settled at once (``settled``): each is held against the leaders,
-   those before it that no passage ties, until a passage is confirmed. So a passage that a third of the corpus shares costs
-   a row for each slice. What was never tied to an earlier document is shuffled, and a stream over the sorted windows ties it
-   to the first document of all. Windows that no passage ties to that one are sent with their shingles and settled among themselves
-   in the same way, so only confirmed passages end a window's search. Where leaders are many, a window meets those
-   that share enough shingles with it and whose gain around the pivot allows a passage; both bounds lose none.
-3. Ties of two documents are joined by intervals: pivots that an already confirmed passage covers add nothing. For the others
-   the longest passage around the pivot is grown inside both windows, and confirmed by the exact Jaccard
-   similarity of its two shingle sets.
+2. All windows are shuffled by pivot hash. Of a hash with few windows each pair of documents whose sketches don't rule a passage out is joined
+   with its texts. Windows of a hash with more are sent with their shingles and settled in one task (``settled``): what no other window
+   could make a passage with is left out, equal ones are compared once, and a window is held against others until none could
+   add a word to what its passages cover. So no pair is left out but where both sides' words are covered already.
+3. Of two documents a window is tried unless the passages that are found cover all that it could add. The longest passage around the
+   pivot is grown inside both windows and confirmed by the exact Jaccard similarity of its two shingle sets, then once more in
+   the whole texts.
 
 A document's repeated words are those of its confirmed passages; its dropped words those of passages that an earlier document
 (by id, then by text hash) has, so one copy stays.
@@ -24,7 +22,6 @@ Passages that repeat only inside a document don't count. Null ids come first.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolake.llm.common import COMBINED_BYTES, hash_strings, mix, runs, shingle_hashes, small, split_words, stored, text_slices
+from photolake.llm.common import hash_strings, mix, runs, shingle_hashes, small, split_words, stored, text_slices
 
 WIDTH = 5
 #: Shingles of the shortest passage: 50 words.
@@ -42,26 +39,22 @@ NUM, DEN = 8, 10
 SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 #: Words that a passage may always have been moved by inside its window; longer ones by a quarter of their length, which similarity 0.8 can't exceed.
 SHIFT = 16
-#: Leaders of a hash from which on its windows are held only against those that share enough shingles with them.
+#: Windows of a hash up to which all pairs of their documents are compared by their texts.
 FEW = 8
-#: A shingle that more windows of a hash have says nothing about two of them alone.
-COMMON = 64
-#: Places that two windows with a passage share at least, a margin under 0.8 of ``LEAST``; split in those of common shingles and others.
-SHARED, SHARED_RARE = 30, 12
+#: Windows of a hash from which on none is left out by its sketch: comparing these takes the square of their number.
+MANY = 4096
+#: Places that two windows with a passage share at least, a margin under 0.8 of ``LEAST``.
+SHARED = 30
 
 
 #: The value of repeated words, after all others.
 LAST = np.iinfo(np.uint64).max
-#: Words on a side of a pivot up to which a window's gain is bounded before it's compared; longer ones are compared always.
-BOUNDED = 512
-
-
 #: Shingles to a side of a pivot whose bits are its sketch: a passage has all of one side, or its pivots are in their middle.
 SIDE = LEAST // 2
 LOW = (1 << 64) - 1
 #: Part (of 8) of the bits of a side that two pivots share, at least, if a passage is around them. A passage of ``LEAST`` shingles with similarity 0.8
-#: shares 18 of ``SIDE`` on one side if its other shingles are spread; these set fewer bits with a chance of 0.01.
-NEAR = 5
+#: shares 12 of ``SIDE`` on one side wherever its other shingles stand, as it has at most 11 of these on both sides together.
+NEAR = 4
 
 
 def _sketches(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +79,6 @@ def _sketches(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(before + after), starts
 
 
-def _joined(words: np.ndarray) -> list[tuple[int, int]]:
-    """The words (4, n) as numbers of 128 bits, before and after."""
-    b0, b1, a0, a1 = words.tolist()
-    return [(x | y << 64, z | w << 64) for x, y, z, w in zip(b0, b1, a0, a1, strict=True)]
-
-
 def _slack(left: int, right: int) -> int:
     return max(SHIFT, (left + right + 1) // 4)
 
@@ -241,224 +228,278 @@ def _grown(x: np.ndarray, y: np.ndarray, mine: Window, theirs: Window, sure: boo
     return None
 
 
-def _around(x: np.ndarray, w: Window) -> int:
-    """Says what is around a pivot: windows of a periodic text that have the same there stand for each other where a comparison fails."""
-    c, l, r = w  # noqa: E741
-    a = max(l, c - LEAST)
-    return hash((x[a : min(r, c + LEAST) + 1].tobytes(), c - a))
+def _reach(gain: np.ndarray, at: int) -> tuple[int, int] | None:
+    """The first and last place that a passage around ``at`` could have: spans of similarity 0.8 have no negative sum of ``_gains``."""
+    if gain[at] <= 0:
+        return None
+    sums = np.concatenate(([0], np.cumsum(gain)))
+    left, right = sums[at] - sums[: at + 1], sums[at + 1 :] - sums[at]
+    starts = np.flatnonzero((left + right.max() >= 0) & (gain[: at + 1] > 0))
+    ends = np.flatnonzero((right + left.max() >= 0) & (gain[at:] > 0))
+    if not len(starts) or not len(ends) or at + ends[-1] - starts[0] + 1 < LEAST:
+        return None
+    return int(starts[0]), at + int(ends[-1])
 
 
-def confirmed(x: np.ndarray, y: np.ndarray, ties: list[tuple[int, list[Window], list[Window]]], ordered: np.ndarray | None = None) -> tuple[list[tuple[int, int, int, int]], set[tuple[int, int]]]:
-    """Confirmed passages of two documents, and (tie, pivot of x) of the windows that one of them covers.
+def _gains(x: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """1 for each hit; -4 for each other shingle, of which 0.8 needs four hits, where it stands first."""
+    gain = np.where(hit, 1, -4)
+    other = np.flatnonzero(~hit)
+    if len(other):
+        first = np.zeros(len(other), bool)
+        first[np.unique(x[other], return_index=True)[1]] = True
+        gain[other[~first]] = 0
+    return gain
+
+
+def confirmed(x: np.ndarray, y: np.ndarray, ties: list[tuple[int, list[Window], list[Window]]], ordered: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+    """Confirmed passages of two documents.
 
-    A tie is (pivot hash, windows of x, windows of y). A window of either side is tried with all of the other until one passes.
-    ``ordered``: x, sorted.
+    A tie is (pivot hash, windows of x, windows of y). Every window of one side is tried with all of the other, the longest first, but where
+    found passages cover all that both could add. ``ordered``: x, sorted.
     """
     found: list[tuple[int, int, int, int]] = []
-    linked: set[tuple[int, int]] = set()
     if not len(x) or not len(y):
-        return found, linked
-    hits = [_within(x, np.sort(y)), _within(y, np.sort(x) if ordered is None else ordered)]
-    sums = [np.concatenate(([0], np.cumsum(h))).tolist() for h in hits]
-
-    seen: list[dict[Window, int]] = [{}, {}]
-    refused: set[tuple[int, int]] = set()
-
-    def grown(w: Window, u: Window) -> tuple[int, int, int, int] | None:
-        key = tuple(known[p] if p in known else known.setdefault(p, _around(t, p)) for known, t, p in zip(seen, (x, y), (w, u), strict=True))
-        if key in refused:
-            return None
-        passage = _grown(x, y, w, u, True) if able(w, u) else None
+        return found
+    gains = _gains(x, _within(x, np.sort(y))), _gains(y, _within(y, np.sort(x) if ordered is None else ordered))
+    covered = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    reached: list[dict[Window, tuple | None]] = [{}, {}]
+
+    def reach(side: int, w: Window) -> tuple | None:
+        """The first and last place of a window that count, and what is there."""
+        if w not in reached[side]:
+            c, l, r = w  # noqa: E741
+            span = _reach(gains[side][l : r + 1], c - l)
+            reached[side][w] = span and (l + span[0], l + span[1], hash(((x, y)[side][l + span[0] : l + span[1] + 1].tobytes(), c - l - span[0])))
+        return reached[side][w]
+
+    tried = set()
+    every = {(w, u) for _, own, theirs in ties for w in own for u in theirs}
+    for w, u in sorted(every, key=lambda p: (-min(p[0][2] - p[0][1], p[1][2] - p[1][1]), p)):
+        one, two = reach(0, w), reach(1, u)
+        if one is None or two is None or (one[2], two[2]) in tried or (covered[0][one[0] : one[1] + 1].all() and covered[1][two[0] : two[1] + 1].all()):
+            continue
+        passage = _grown(x, y, w, u, True)
         if passage is None:
-            refused.add(key)
-        return passage
-
-    def able(w: Window, u: Window) -> bool:
-        if any(n[r + 1] - n[l] < SHARED for n, (_, l, r) in zip(sums, (w, u), strict=True)):  # noqa: E741
-            return False
-        return sum(_gain(h[l : r + 1], c - l) for h, (c, l, r) in zip(hits, (w, u), strict=True)) >= 0  # noqa: E741
-
-    for own, theirs, v in sorted((own, theirs, v) for v, own, theirs in ties):
-        tried = set()
-        for w in own:
-            if any(a <= w[0] <= b and any(c <= u[0] <= d for u in theirs) for a, b, c, d in found):
-                linked.add((v, w[0]))
-                continue
-            for u in theirs:
-                tried.add((w, u))
-                if (passage := grown(w, u)) is not None:
-                    found.append(passage)
-                    linked.add((v, w[0]))
-                    break
-        for u in theirs:
-            if any(c <= u[0] <= d for _, _, c, d in found):
-                continue
-            for w in own:
-                if (w, u) not in tried and (passage := grown(w, u)) is not None:
-                    found.append(passage)
-                    linked.add((v, w[0]))
-                    break
-    return found, linked
-
-
-def _side(hits: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Gains of 0, 1, 2, ... steps to one side, a hit 1 and a miss -8; minus infinity beyond the side's length. Rows are windows."""
-    gain = np.zeros((len(hits), hits.shape[1] + 1), np.float32)
-    np.cumsum(np.where(hits, np.float32(1), np.float32(-8)), axis=1, out=gain[:, 1:])
-    gain[np.arange(gain.shape[1]) > length[:, None]] = -np.inf
-    return gain
-
+            tried.add((one[2], two[2]))
+            continue
+        for p in {passage, _grown(x, y, (w[0], 0, len(x) - 1), (u[0], 0, len(y) - 1), True) or passage}:
+            found.append(p)
+            covered[0][p[0] : p[1] + 1] = True
+            covered[1][p[2] : p[3] + 1] = True
+    return found
 
-def _best(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The best gain of spans of ``LEAST`` or more around the pivot, which is a hit."""
-    far = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
-    need = np.maximum(LEAST - 1 - np.arange(left.shape[1]), 0)
-    some = need < far.shape[1]
-    return 1 + (left[:, some] + far[:, need[some]]).max(axis=1, initial=-np.inf)
 
+Found = tuple[int, int, int, int, int, int]
+#: Beyond all places.
+FAR = 1 << 30
 
-class _Shared:
-    """Which leaders of a hash a window must be held against.
 
-    Of two windows that share ``SHARED`` shingles, ``SHARED_RARE`` are rare in the group or both have many common ones; and ``_may`` holds, here
-    for all leaders at once.
-    """
+class _Group:
+    """One hash's windows in the order of their documents, cut to what a passage with any other of them could have."""
 
-    def __init__(self, windows: list[np.ndarray], pivots: list[int]):
+    def __init__(self, docs: list, windows: list[np.ndarray], pivots: list[int]):
+        self.docs = docs
         sizes = np.array([len(x) for x in windows])
-        values, codes, times = np.unique(np.concatenate(windows), return_inverse=True, return_counts=True)
+        self.flat = np.concatenate(windows)
+        _, codes = np.unique(self.flat, return_inverse=True)
+        kinds = int(codes.max()) + 1
         who = np.repeat(np.arange(len(windows)), sizes)
-        each = np.unique(who * len(values) + codes)  # a shingle once in a window
-        of, code = each // len(values), each % len(values)
-        times = np.bincount(code, minlength=len(values))[code]
-        rare = (times > 1) & (times <= COMMON)
-        cuts = np.searchsorted(of[rare], np.arange(len(windows) + 1)).tolist()
-        flat = code[rare].tolist()
-        self.rare = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.many = (np.bincount(of[times > COMMON], minlength=len(windows)) > SHARED - SHARED_RARE).tolist()
-        self.posts: dict[int, list[int]] = {}
-        self.heavy: list[int] = []
-        # windows as rows of codes, from the pivot to either side; shingles of one window alone are 0
-        shared = np.zeros(len(values), np.int32)
-        shared[code[times > 1]] = 1
-        shared = np.cumsum(shared, dtype=np.int32) * shared
-        codes = shared[codes]
         starts = np.cumsum(sizes) - sizes
-        at = starts + np.array(pivots)
-        self.reach = [np.array(pivots), sizes - np.array(pivots) - 1]
-        wide = [min(int(n.max(initial=0)), BOUNDED) for n in self.reach]
-        self.codes = []
-        for sign, n, k in zip((-1, 1), self.reach, wide, strict=True):
-            steps = np.arange(1, k + 1)
-            self.codes.append(np.where(steps <= n[:, None], codes[np.clip(at[:, None] + sign * steps, 0, len(codes) - 1)], 0))
-        self.short = (self.reach[0] <= BOUNDED) & (self.reach[1] <= BOUNDED)
-        self.kinds = int(shared.max(initial=0)) + 1
-        self.own = [codes[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        self.has = np.zeros((0, self.kinds), bool) if len(windows) * self.kinds > 1 << 26 else np.zeros((len(windows), self.kinds), bool)
-
-    def lead(self, i: int) -> None:
-        for code in self.rare[i]:
-            self.posts.setdefault(code, []).append(i)
-        if self.many[i]:
-            self.heavy.append(i)
-        if len(self.has):
-            self.has[i, self.own[i]] = True
-            self.has[i, 0] = False
-
-    def partners(self, i: int) -> list[int]:
-        times = Counter(j for code in self.rare[i] for j in self.posts.get(code, ()))
-        found = {j for j, n in times.items() if n >= SHARED_RARE}
-        if self.many[i]:
-            found.update(self.heavy)
-        found = sorted(found)
-        if len(found) < FEW or not self.short[i] or not len(self.has):
-            return found
-        out = []
-        mark = np.zeros(self.kinds, bool)
-        mark[self.own[i]] = True
-        mark[0] = False
-        step = max(1, (1 << 21) // (self.codes[0].shape[1] + self.codes[1].shape[1] + 1))
-        for k in range(0, len(found), step):
-            js = np.array(found[k : k + step])
-            mine = [_side(self.has[js][:, c[i, : n[i]]], np.full(len(js), n[i])) for c, n in zip(self.codes, self.reach, strict=True)]
-            theirs = [_side(mark[c[js]], np.minimum(n[js], c.shape[1])) for c, n in zip(self.codes, self.reach, strict=True)]
-            out += js[(_best(*mine) + _best(*theirs) >= 0) | ~self.short[js]].tolist()
-        return out
-
-
-def _near(x: tuple[int, int], y: tuple[int, int]) -> bool:
-    return any(8 * (a & b).bit_count() >= NEAR * max(a.bit_count(), b.bit_count()) for a, b in zip(x, y, strict=True))
+        self.starts, self.ends, self.at = starts, starts + sizes - 1, starts + np.array(pivots)
+        _, once = np.unique(who * kinds + codes, return_index=True)
+        first = np.zeros(len(codes), bool)
+        first[once] = True
+        place = np.arange(len(codes))
+        n = len(windows)
+        self.low, self.high = self.starts.copy(), self.ends.copy()
+        inside = np.ones(len(codes), bool)
+        while True:
+            each = np.unique((who * kinds + codes)[inside])
+            times = np.bincount(each % kinds, minlength=kinds)
+            hit = inside & (times[codes] > 1)
+            sums = np.concatenate(([0], np.cumsum(np.where(hit, 1, np.where(first, -4, 0)))))
+            bounds = np.stack((self.starts, self.at), 1).reshape(-1)
+            left = np.maximum.reduceat(sums[self.at[who]] - sums[:-1], bounds)[::2] if n else sums[:0]  # to the pivot's left, but one for none
+            left = np.maximum(left, 0)
+            right = np.maximum.reduceat(sums[1:] - sums[self.at[who]], bounds)[1::2]
+            fits = hit & hit[self.at[who]]
+            head = fits & (place <= self.at[who]) & (sums[self.at[who]] - sums[:-1] + right[who] >= 0)
+            tail = fits & (place >= self.at[who]) & (sums[1:] - sums[self.at[who]] + left[who] >= 0)
+            low = np.minimum.reduceat(np.where(head, place, len(codes)), self.starts)
+            high = np.maximum.reduceat(np.where(tail, place, -1), self.starts)
+            alive = high - low + 1 >= LEAST
+            low, high = np.where(alive, low, len(codes)), np.where(alive, high, -1)
+            now = (place >= low[who]) & (place <= high[who])
+            self.low, self.high, self.hit = low, high, hit & now
+            if not alive.any() or now.sum() == inside.sum():
+                break
+            inside = now
+        self.codes, self.kinds, self.first = codes, kinds, first
+        self.alive = np.flatnonzero(alive).tolist()
+        self.form = np.where(self.hit, codes, np.where(first, -1, -2))
 
+    def window(self, i: int) -> Window:
+        """(c, l, r) in ``flat``, cut."""
+        return int(self.at[i]), int(self.low[i]), int(self.high[i])
 
-Passages = dict[tuple, list[tuple[int, int, int, int]]]
+    def grown(self, i: int, j: int) -> tuple[int, int, int, int] | None:
+        return _grown(self.flat, self.flat, self.window(i), self.window(j))
 
 
-def settled(docs: list, texts: list[np.ndarray], base: list[int], places: list[Window], known: Passages, sketches: list[tuple[int, int]] | None = None) -> list[bool]:
-    """Of one hash's windows in the order of their documents: which are tied to an earlier document by a passage.
+def settled(docs: list, windows: list[np.ndarray], pivots: list[int]) -> list[Found]:
+    """Passages (i, first, last, j, first, last) of one hash's windows, j of an earlier document than i; places from the window's start on.
 
-    A window is held against the leaders, which are the windows before it that nothing ties, until a passage is confirmed; if none is,
-    it leads too. So copies cost one comparison each, and no pair of leaders is left out. ``texts`` are the shingles that the places (c, l, r)
-    count in, from ``base`` on in the document. ``known`` has the passages of pairs of documents, (later, earlier): where one
-    covers both pivots, nothing is compared; new ones are put there. Pivots whose ``sketches`` are far apart aren't compared.
+    ``docs`` ascend. Windows that are equal as far as a passage could reach are held against the first of them; where all of it is covered so, that
+    one stands for them. Each other window is held against those before it, until none could cover a word of its own more by an earlier document,
+    or one of the other's that nothing covers.
     """
-    n = len(docs)
-    leaders: list[int] = []
-    tied = [False] * n
-    shared = None
-    around = [_around(t, w) for t, w in zip(texts, places, strict=True)] if len(set(docs)) < n else None
-    refused: set[tuple[int, int]] = set()
-    for i in range(n):
-        if shared is None and len(leaders) >= FEW:
-            rest = leaders + list(range(i, n))
-            number = {j: k for k, j in enumerate(rest)}
-            shared = _Shared([texts[j][places[j][1] : places[j][2] + 1] for j in rest], [places[j][0] - places[j][1] for j in rest])
-            for j in range(len(leaders)):
-                shared.lead(j)
-        for j in leaders if shared is None else [rest[k] for k in shared.partners(number[i])]:
-            if docs[j] == docs[i] or (sketches is not None and not _near(sketches[i], sketches[j])):
-                continue
-            pair = docs[i], docs[j]
-            ci, cj = base[i] + places[i][0], base[j] + places[j][0]
-            if any(a <= ci <= b and c <= cj <= d for a, b, c, d in known.get(pair, ())):
-                tied[i] = True
+    g = _Group(docs, windows, pivots)
+    out: list[Found] = []
+    known: set[tuple[int, int]] = set()
+    late, either = np.zeros(len(g.flat), bool), np.zeros(len(g.flat), bool)
+
+    def compare(i: int, j: int) -> bool:
+        if docs[i] == docs[j] or (i, j) in known:
+            return False
+        known.add((i, j))
+        p = g.grown(i, j)
+        if p is None:
+            return False
+        late[p[0] : p[1] + 1] = True
+        either[p[0] : p[1] + 1] = True
+        either[p[2] : p[3] + 1] = True
+        a, b = int(g.starts[i]), int(g.starts[j])
+        out.append((i, p[0] - a, p[1] - a, j, p[2] - b, p[3] - b))
+        return True
+
+    forms: dict[tuple, int] = {}
+    rest = []
+    for i in g.alive:
+        c, l, r = g.window(i)  # noqa: E741
+        j = forms.setdefault((g.form[l : r + 1].tobytes(), c - l), i)
+        if j == i or not compare(i, j) or not late[l : r + 1].all() or not either[g.low[j] : g.high[j] + 1].all():
+            rest.append(i)
+    if len(rest) < 2:
+        return out
+    # for each shingle the windows that have it, and where, counted from the pivot; the nearest of several places
+    m = len(rest)
+    low, high = g.low[rest] - g.at[rest], g.high[rest] - g.at[rest]
+    own, whose, steps, spare = [], [], [], np.zeros(m, np.int64)
+    for k, i in enumerate(rest):
+        c, l, r = g.window(i)  # noqa: E741
+        at = np.flatnonzero(g.hit[l : r + 1]) + l
+        at = at[np.argsort(np.abs(at - c), kind="stable")]
+        codes, one = np.unique(g.codes[at], return_index=True)
+        own.append(codes)
+        steps.append(at[one] - c)
+        whose.append(np.full(len(one), k))
+        spare[k] = r - l + 1 - len(np.unique(g.codes[l : r + 1]))
+    flat = np.concatenate(own)
+    order = np.argsort(flat, kind="stable")
+    posts, steps, cuts = np.concatenate(whose)[order], np.concatenate(steps)[order], np.searchsorted(flat[order], np.arange(g.kinds + 1))
+    # at 0.8 two sets of LEAST share 41; less, where shingles repeat
+    need = np.maximum(1, -(-8 * (2 * LEAST) // 18) - spare)
+
+    def gaps(i: int, covered: np.ndarray) -> tuple[int, int]:
+        """The nearest places on both sides of the pivot that aren't covered."""
+        c, l, r = g.window(i)  # noqa: E741
+        gap = np.flatnonzero(~covered[l : r + 1]) + l - c
+        before, after = gap[gap <= 0], gap[gap >= 0]
+        return int(before[-1]) if len(before) else -FAR, int(after[0]) if len(after) else FAR
+
+    def partners(k: int) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+        """The earlier windows with which a passage could cover more; how far it could reach to both sides, in either."""
+        c, l, r = g.window(rest[k])  # noqa: E741
+        at = np.flatnonzero(g.hit[l : r + 1]) + l
+        lists = [(int(cuts[x]), int(cuts[x]) + int(np.searchsorted(posts[cuts[x] : cuts[x + 1]], k))) for x in g.codes[at].tolist()]
+        them = np.concatenate([posts[a:b] for a, b in lists])
+        shared = np.bincount(them, minlength=k)
+        fits = shared >= np.minimum(need[:k], need[k])
+        if late_gap == (-FAR, FAR):
+            fits &= (left_gap[:k] > -FAR) | (right_gap[:k] < FAR)
+        able = np.flatnonzero(fits)
+        if not len(able):
+            return
+        where = np.concatenate([steps[a:b] for a, b in lists])
+        column = np.repeat(at - l, [b - a for a, b in lists])
+        width = r - l + 1
+        out = []
+        for some in np.array_split(able, -(-len(able) * width // (1 << 22))):
+            row = np.full(k, -1)
+            row[some] = np.arange(len(some))
+            keep = row[them] >= 0
+            place = np.full((len(some), width), FAR, np.int32)
+            place[row[them[keep]], column[keep]] = where[keep]
+            # where shingles repeat, the other side's places don't count
+            plain = ((spare[some] == 0) & (spare[k] == 0))[:, None]
+            right = _sums(place[:, c - l :], g.first[c : r + 1], plain)
+            left = _sums(-place[:, : c - l + 1][:, ::-1], g.first[l : c + 1][::-1], plain)
+            gain = [x[0] for x in (left, right)]
+            ends = []
+            for a, b in ((0, 1), (1, 0)):
+                most = np.where((left, right)[b][2], gain[b], -FAR).max(1, keepdims=True)
+                ok = (left, right)[a][2] & (gain[a] + most - 1 >= 0)  # the pivot counts once
+                end = ok.shape[1] - 1 - ok[:, ::-1].argmax(1)
+                ends += [np.where(ok.any(1), end, -1), np.where(ok.any(1), (left, right)[a][1][np.arange(len(some)), end], -1)]
+            a, x, b, y = ends
+            more = (-a <= late_gap[0]) | (b >= late_gap[1]) | (-x <= left_gap[some]) | (y >= right_gap[some])
+            good = (a >= 0) & (b >= 0) & (a + b + 1 >= LEAST) & more
+            out += zip((-shared[some[good]]).tolist(), some[good].tolist(), a[good].tolist(), b[good].tolist(), x[good].tolist(), y[good].tolist(), strict=True)
+        for _, h, *ends in sorted(out):
+            yield h, ends
+
+    left_gap, right_gap = np.full(m, -FAR), np.full(m, FAR)
+    hubs: list[int] = []
+    for k, i in enumerate(rest):
+        late_gap = gaps(i, late)
+        for h in hubs[:3]:
+            if late_gap == (-FAR, FAR):
                 break
-            if around is not None and (around[i], around[j]) in refused:
-                continue
-            passage = _grown(texts[i], texts[j], places[i], places[j])
-            if passage is None and around is not None:
-                refused.add((around[i], around[j]))
-            if passage is not None:
-                known.setdefault(pair, []).append((base[i] + passage[0], base[i] + passage[1], base[j] + passage[2], base[j] + passage[3]))
-                tied[i] = True
+            if compare(i, rest[h]):
+                late_gap = gaps(i, late)
+                left_gap[h], right_gap[h] = gaps(rest[h], either)
+                hubs.remove(h)
+                hubs.insert(0, h)
                 break
-        if not tied[i]:
-            leaders.append(i)
-            if shared is not None:
-                shared.lead(number[i])
-    return tied
+        for h, (a, b, x, y) in partners(k) if k else ():
+            if -a <= late_gap[0] or b >= late_gap[1] or -x <= left_gap[h] or y >= right_gap[h]:
+                if compare(i, rest[h]):
+                    late_gap = gaps(i, late)
+                    left_gap[h], right_gap[h] = gaps(rest[h], either)
+                    if h in hubs:
+                        hubs.remove(h)
+                    hubs.insert(0, h)
+        left_gap[k], right_gap[k] = gaps(i, either)
+    return out
+
+
+def _sums(place: np.ndarray, first: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the pivot on, rows are pairs: gains of spans, how far they go on the other side, and which end with a hit.
+
+    A hit is 1; every other shingle of both sides is -4, of which only first ones of a repeated shingle count. ``place`` is ``FAR`` for no hit.
+    """
+    hit = np.abs(place) < FAR
+    hits = np.cumsum(hit, axis=1, dtype=np.int32)
+    far = np.maximum.accumulate(np.where(hit, place, 0), axis=1)
+    missed = np.cumsum(~hit & first, axis=1, dtype=np.int32)
+    return hits - 4 * missed - 4 * np.where(plain, np.maximum(far + 1 - hits, 0), 0), far, hit
 
 
-SPAN = pa.list_(pa.struct([("doc_id", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("later", pa.bool_())]))
 #: Columns of a pivot's sketch: two words before it, two after it.
 SKETCH = ("b0", "b1", "a0", "a1")
-WINDOW = pa.list_(pa.struct([("v", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), *((x, pa.int64()) for x in SKETCH)]))
-SCANNED = "spans array<struct<doc_id:long,h:long,first:int,last:int,later:boolean>>, windows array<struct<v:long,doc_id:long,h:long,c:int,l:int,r:int,b0:long,b1:long,a0:long,a1:long>>"
+SCANNED = "v long, doc_id long, h long, c int, l int, r int, b0 long, b1 long, a0 long, a1 long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each slice: passages confirmed inside it, and the windows that none of them ties to an earlier document."""
-    for batch in text_slices(batches, limit=COMBINED_BYTES):
+    """All windows of each text with their pivots' sketches."""
+    for batch in text_slices(batches):
         ids, hs = batch.column("doc_id"), batch.column("h").to_numpy()
         rows = _shingled(batch)
-        known = ids.to_numpy()
-        rank = np.empty(len(rows), np.int64)
-        rank[np.lexsort((hs, known))] = np.arange(len(rows))
         v, d, where = [], [], []
-        met = set()
         for i, s in enumerate(rows):
-            if len(s) < LEAST or (key := (int(known[i]), int(hs[i]))) in met:
+            if len(s) < LEAST:
                 continue
-            met.add(key)
             for seed in SEEDS:
                 g = mix(s ^ seed)
                 # a repeated word is the pivot only where there's nothing else
@@ -470,34 +511,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         v, d, where = np.concatenate(v), np.concatenate(d), np.concatenate(where)
         sketch, texts_at = _sketches(rows)
-        order = np.lexsort((where[:, 1], rank[d], v))
-        v, d, where = v[order], d[order], where[order]
-        pivot = texts_at[d] + where[:, 1]
-        sketch = sketch[:, pivot]
-        # each hash's windows among themselves; what nothing ties to an earlier document goes on
-        first = np.ones(len(v), bool)
-        known: Passages = {}
-        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        stops = np.append(starts[1:], len(v))
-        several = d[starts] != d[stops - 1]
-        for a, b in zip(starts[several].tolist(), stops[several].tolist(), strict=True):
-            own = d[a:b].tolist()
-            first[a:b] = ~np.array(settled(own, [rows[i] for i in own], [0] * (b - a), [(c, l, r) for l, c, r in where[a:b].tolist()], known, _joined(sketch[:, a:b])))  # noqa: E741
-        spans = [x for (i, k), found in known.items() for p, q, s, e in found for x in ((i, p, q + WIDTH - 1, True), (k, s, e + WIDTH - 1, False))]
-        own = pa.array(d[first])
-        w = where[first].astype(np.int32)
-        windows = pa.StructArray.from_arrays([pa.array(v[first].view(np.int64)), ids.take(own), pa.array(hs[d[first]]), pa.array(w[:, 1]), pa.array(w[:, 0]), pa.array(w[:, 2]), *(pa.array(x[first].view(np.int64)) for x in sketch)], fields=list(WINDOW.value_type))
-        who = [s[0] for s in spans]
-        told = pa.StructArray.from_arrays([ids.take(pa.array(who, pa.int64())), pa.array(hs[who] if who else [], pa.int64()), pa.array([s[1] for s in spans], pa.int32()), pa.array([s[2] for s in spans], pa.int32()), pa.array([s[3] for s in spans], pa.bool_())], fields=list(SPAN.value_type))
-        # rows of about a thousand windows
-        cuts = np.append(np.arange(0, len(windows), 1000), len(windows)).astype(np.int32)
-        n = len(cuts) - 1
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.array([0] + [len(told)] * n, np.int32)), told), pa.ListArray.from_arrays(pa.array(cuts), windows)], names=["spans", "windows"])
+        sketch = sketch[:, texts_at[d] + where[:, 1]]
+        w = where.astype(np.int32)
+        columns = [pa.array(v.view(np.int64)), ids.take(pa.array(d)), pa.array(hs[d]), pa.array(w[:, 1]), pa.array(w[:, 0]), pa.array(w[:, 2]), *(pa.array(x.view(np.int64)) for x in sketch)]
+        whole = pa.RecordBatch.from_arrays(columns, names=["v", "doc_id", "h", "c", "l", "r", *SKETCH])
+        for at in range(0, whole.num_rows, 20_000):
+            yield whole.slice(at, 20_000)
 
 
 PLACES = pa.list_(pa.struct([("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())]))
-TIE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("y_doc", pa.int64()), ("y_h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("tie", pa.struct([("v", pa.int64()), ("own", PLACES), ("theirs", PLACES), ("alone", pa.bool_())]))])
-TIES = "doc_id long, h long, y_doc long, y_h long, lo int, hi int, tie struct<v:long,own:array<struct<c:int,l:int,r:int>>,theirs:array<struct<c:int,l:int,r:int>>,alone:boolean>"
+TIE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("y_doc", pa.int64()), ("y_h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("tie", pa.struct([("v", pa.int64()), ("own", PLACES), ("theirs", PLACES)]))])
+TIES = "doc_id long, h long, y_doc long, y_h long, lo int, hi int, tie struct<v:long,own:array<struct<c:int,l:int,r:int>>,theirs:array<struct<c:int,l:int,r:int>>>"
 #: Rows of a batch of ties.
 TIE_ROWS = 5000
 
@@ -508,81 +532,72 @@ def _tie(v: int, x: tuple, y: tuple) -> dict:
     lo = min(c - min(left, c - l) - _slack(min(left, c - l), min(right, r - c)) for c, l, r in y[2])  # noqa: E741
     hi = max(c + min(right, r - c) + _slack(min(left, c - l), min(right, r - c)) + WIDTH for c, l, r in y[2])  # noqa: E741
     places = [[{"c": c, "l": l, "r": r} for c, l, r in w] for w in (x[2], y[2])]  # noqa: E741
-    return {"doc_id": x[0], "h": x[1], "y_doc": y[0], "y_h": y[1], "lo": max(lo, 0), "hi": hi, "tie": {"v": v, "own": places[0], "theirs": places[1], "alone": True}}
+    return {"doc_id": x[0], "h": x[1], "y_doc": y[0], "y_h": y[1], "lo": max(lo, 0), "hi": hi, "tie": {"v": v, "own": places[0], "theirs": places[1]}}
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether pivots' sketches, words (4, ...) of bits, allow a passage around both."""
+    shared, one, two = (np.bitwise_count(b).astype(np.int16) for b in (x & y, x, y))
+    return (8 * (shared[0::2] + shared[1::2]) >= NEAR * np.maximum(one[0::2] + one[1::2], two[0::2] + two[1::2])).any(axis=0)
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by (v, doc_id, h, c): each that is near leaders by their sketches, with all of these; the others lead."""
-    rest, at, out = None, None, []
-    leaders: list[tuple] = []
-    bits = np.zeros((6, 0), np.uint64)
-    first: list[dict] | None = []
-
-    def near(x: tuple) -> list[tuple]:
-        nonlocal bits
-        if len(leaders) <= 2 * FEW:
-            return [u for u in leaders if u[0] != x[0] and _near(u[2:4], x[2:4])]
-        # the leaders' sketches as arrays that double when they're full
-        if bits.shape[1] < len(leaders):
-            bits = np.zeros((6, 2 * len(leaders)), np.uint64)
-            bits[:, : len(leaders)] = np.stack([words(u) for u in leaders], axis=1)
-        both, own = bits[:4, : len(leaders)], words(x)[:, None]
-        shared, most = np.bitwise_count(both & own[:4]).astype(np.int64), np.maximum(bits[4:, : len(leaders)], own[4:]).astype(np.int64)
-        same = (8 * (shared[0::2] + shared[1::2]) >= NEAR * most).any(axis=0)
-        return [leaders[k] for k in np.flatnonzero(same).tolist() if leaders[k][0] != x[0]]
-
-    def words(x: tuple) -> np.ndarray:
-        return np.array([x[2] & LOW, x[2] >> 64, x[3] & LOW, x[3] >> 64, x[2].bit_count(), x[3].bit_count()], np.uint64)
-
-    def one(v: int, x: tuple) -> None:
-        nonlocal at, bits, first
-        if v != at:
-            out.extend(first or ())  # of a hash with one such window: nothing else is left to compare it with
-            at, bits, first = v, bits[:, :0], []
-            leaders.clear()
-        mates: dict[tuple, list[Window]] = {}
-        for u in near(x):
-            mates.setdefault(u[0], []).append(u[1])
-        if not mates:
-            leaders.append(x)
-            if bits.shape[1] >= len(leaders):
-                bits[:, len(leaders) - 1] = words(x)
+    """Of windows sorted by (v, doc_id, h, c): pairs of documents of a hash with few windows; windows of others, each as a pair with itself."""
+    rest, out = None, []
+
+    def group(v: int, doc: list[tuple], places: list[Window], sketch: np.ndarray) -> None:
+        n = len(doc)
+        if n > FEW:
+            number = {d: k for k, d in enumerate(dict.fromkeys(doc))}
+            of = np.array([number[d] for d in doc])
+            # a window of a text that is there twice doesn't count
+            some = [k for k in range(n) if n > MANY or (_near(sketch, sketch[:, k : k + 1]) & (of != of[k])).any()]
+            out.extend({"doc_id": doc[k][0], "h": doc[k][1], "y_doc": doc[k][0], "y_h": doc[k][1], "lo": 0, "hi": 0, "tie": {"v": v, "own": [dict(zip("clr", places[k], strict=True))], "theirs": []}} for k in some)
             return
-        told = [_tie(v, (*x[0], [x[1]]), (*doc, places)) for doc, places in mates.items()]
-        if first == []:
-            first = told
-            return
-        for tie in (*(first or ()), *told):
-            tie["tie"]["alone"] = False
-            out.append(tie)
-        first = None
-
-    def windows(table: pa.Table, final: bool):
-        nonlocal rest
+        pairs: dict[tuple, tuple[dict, dict]] = {}
+        for j in range(1, n):
+            for i in np.flatnonzero(_near(sketch[:, :j], sketch[:, j : j + 1])).tolist():
+                if doc[i] != doc[j]:
+                    one, two = pairs.setdefault((doc[j], doc[i]), ({}, {}))
+                    one[places[j]] = two[places[i]] = None
+        out.extend(_tie(v, (*x, list(one)), (*y, list(two))) for (x, y), (one, two) in pairs.items())
+
+    def windows(table: pa.Table):
         v = table.column("v").to_numpy()
-        same = v[1:] == v[:-1]
-        several = np.concatenate(([False], same)) | np.append(same, False)
-        if at is not None:
-            several |= v == at
-        if not final:
-            rest = table.slice(len(v) - 1)
-            several[-1] = False
-        some = table.take(pa.array(np.flatnonzero(several)))
+        start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        size = np.diff(np.append(start, len(v)))
+        sketch = np.stack([table.column(n).to_numpy().view(np.uint64) for n in SKETCH])
+        # most hashes have one window or two that are far apart
+        two = start[size == 2]
+        size[size == 2] = np.where(_near(sketch[:, two], sketch[:, two + 1]), 2, 0)
+        start, size = start[size > 1], size[size > 1]
+        if not len(start):
+            return
+        take = np.concatenate([np.arange(a, a + n) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+        some, sketch, v = table.take(pa.array(take)), sketch[:, take], v[take]
         doc, h, c, l, r = (some.column(n).to_pylist() for n in ("doc_id", "h", "c", "l", "r"))  # noqa: E741
-        sketch = _joined(np.stack([some.column(n).to_numpy().view(np.uint64) for n in SKETCH]))
-        for k, hash_ in enumerate(v[several].tolist()):
-            one(hash_, ((doc[k], h[k]), (c[k], l[k], r[k]), *sketch[k]))
+        doc, places = list(zip(doc, h, strict=True)), list(zip(c, l, r, strict=True))
+        at = 0
+        for n in size.tolist():
+            group(int(v[at]), doc[at : at + n], places[at : at + n], sketch[:, at : at + n])
+            at += n
             if len(out) >= TIE_ROWS:
                 yield pa.RecordBatch.from_pylist(out, TIE)
                 out.clear()
 
     for batch in batches:
-        if batch.num_rows:
-            table = pa.Table.from_batches([batch])
-            yield from windows(table if rest is None else pa.concat_tables([rest, table]).combine_chunks(), False)
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        # the last hash may go on
+        v = table.column("v").to_numpy()
+        cut = int(np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))[-1])
+        rest = table.slice(cut)
+        if cut:
+            yield from windows(table.slice(0, cut).combine_chunks())
     if rest is not None:
-        yield from windows(rest, True)
-    out.extend(first or ())
+        yield from windows(rest.combine_chunks())
     if out:
         yield pa.RecordBatch.from_pylist(out, TIE)
 
@@ -596,7 +611,7 @@ VERIFIED = "doc_id long, h long, first int, last int, later boolean, v long, c i
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of confirmed passages (v is null), and of windows that no passage ties (first is null) with their shingles."""
+    """Rows of confirmed passages (v is null); of a document's pair with itself, its windows with their shingles (first is null)."""
     for whole in batches:
         for batch in text_slices([whole]):
             # a document's pairs stand together; its text is cut once
@@ -610,33 +625,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(batch.num_rows):
                 s, x, y = ids["lo"][i], (ids["doc_id"][i], ids["h"][i]), (ids["y_doc"][i], ids["y_h"][i])
                 end = len(theirs[i]) - 1
-                alone = {t["v"] for t in ids["ties"][i] if t["alone"]}
                 ties = [(t["v"], [(w["c"], w["l"], w["r"]) for w in t["own"]], [(w["c"] - s, max(w["l"] - s, 0), min(w["r"] - s, end)) for w in t["theirs"]]) for t in ids["ties"][i]]
-                passed, linked = confirmed(mine[which[i]], theirs[i], ties, ordered[which[i]])
-                for a, b, c, e in passed:
+                if x == y:
+                    out.extend((*x, None, None, None, v, c, l, r, _packed(mine[which[i]][l : r + 1])) for v, places, _ in ties for c, l, r in places)  # noqa: E741
+                    continue
+                for a, b, c, e in confirmed(mine[which[i]], theirs[i], ties, ordered[which[i]]):
                     out.append((*x, a, b + WIDTH - 1, True, None, None, None, None, None))
                     out.append((*y, s + c, s + e + WIDTH - 1, False, None, None, None, None, None))
-                # where a hash has just these two documents, nothing is left to compare
-                out.extend((*x, None, None, None, v, c, l, r, _packed(mine[which[i]][l : r + 1])) for v, places, _ in ties if v not in alone for c, l, r in places if (v, c) not in linked)  # noqa: E741
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names=["doc_id", "h", "first", "last", "later", "v", "c", "l", "r", "shingles"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows with shingles, sorted by (v, doc_id, h, c): passages of those of a hash among themselves, until each is tied or has met all."""
+    """Of windows with shingles, sorted by (v, doc_id, h, c): the passages of those of a hash (``settled``)."""
     names = ["doc_id", "h", "first", "last", "later"]
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     at, group = None, []
 
     def among() -> list[tuple]:
-        # a window that several leaders refused is here for each
+        # rows that repeat an id and a text are one document
         group[:] = [w for k, w in enumerate(group) if not k or w[:3] != group[k - 1][:3]]
         docs = [(w[0], w[1]) for w in group]
-        if len(set(docs)) < 2:
+        if docs[0] == docs[-1]:
             return []
-        known: Passages = {}
-        settled(docs, [np.frombuffer(w[5], np.uint32) for w in group], [w[3] for w in group], [(w[2] - w[3], 0, w[4] - w[3]) for w in group], known)
-        return [x for (one, two), found in known.items() for a, b, c, d in found for x in ((*one, a, b + WIDTH - 1, True), (*two, c, d + WIDTH - 1, False))]
+        found = settled(docs, [np.frombuffer(w[5], np.uint32) for w in group], [w[2] - w[3] for w in group])
+        at = [w[3] for w in group]
+        return [x for i, a, b, j, c, d in found for x in ((*docs[i], at[i] + a, at[i] + b + WIDTH - 1, True), (*docs[j], at[j] + c, at[j] + d + WIDTH - 1, False))]
 
     def told(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names=names)
@@ -672,10 +686,7 @@ def passages(docs: DataFrame) -> DataFrame:
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("int")
     whole = rows.join(copies, alike).select("doc_id", "h", F.lit(0).alias("first"), (words - 1).alias("last"), (F.col("doc_id") > F.col("d")).alias("later")).where(F.col("last") >= LEAST + WIDTH - 2)
     rows = rows.join(copies, alike & (F.col("doc_id") > F.col("d")), "left_anti")
-    scanned = stored(rows.mapInArrow(_scan, SCANNED), "windows")
-    inside = scanned.where("size(spans) > 0").select(F.explode("spans").alias("s")).select("s.*")
-    windows = scanned.select(F.explode("windows").alias("w")).select("w.*")
-    ties = windows.repartition("v").sortWithinPartitions("v", "doc_id", "h", "c").mapInArrow(_ties, TIES)
+    ties = rows.mapInArrow(_scan, SCANNED).repartition("v").sortWithinPartitions("v", "doc_id", "h", "c").mapInArrow(_ties, TIES)
     pairs = stored(ties.groupBy("doc_id", "h", "y_doc", "y_h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("tie").alias("ties")), "pairs")
     used = pairs.select(F.col("doc_id").alias("d"), F.col("h").alias("k")).union(pairs.select("y_doc", "y_h")).distinct()
     used = stored(used, "used")
@@ -689,7 +700,7 @@ def passages(docs: DataFrame) -> DataFrame:
     between = verified.where("v is null").select("doc_id", "h", "first", "last", "later")
     rest = verified.where("v is not null").select("v", "doc_id", "h", "c", "l", "r", "shingles")
     among = rest.repartition("v").sortWithinPartitions("v", "doc_id", "h", "c").mapInArrow(_settle, "doc_id long, h long, first int, last int, later boolean")
-    return whole.union(inside).union(between).union(stored(among, "among"))
+    return whole.union(between).union(stored(among, "among"))
 
 
 def _merged(column: str):
