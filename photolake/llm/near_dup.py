@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, width: int = 3, threshold: float = 0.85, bands:
 def link_sets(sets: list[np.ndarray], num: int, den: int, labels: list[int] | None = None, pivots: int | None = None) -> UnionFind:
     """Union-find of the sets with den * |a & b| >= num * |a | b|, by exact counts.
 
-    One pivot at a time is held against all other sets at once; when it's done it has no pair left.
+    One pivot at a time is held against all sets at once that aren't linked with it yet; when it's done it has no pair left.
     Only pivots outside the largest component are needed, so dense groups end after a few.
     With ``pivots`` only the first so many sets are pivots; ``labels`` says what is linked already.
     """
@@ -83,30 +83,52 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, labels: list[int] | No
         first: dict[int, int] = {}
         for i, x in enumerate(labels):
             groups.union(first.setdefault(x, i), i)
+    roots = np.fromiter((groups.find(i) for i in range(n)), np.int64, n)
     sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    values, codes = np.unique(flat, return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    marked = np.zeros(len(values), np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    # the sets that have each value
+    order = np.argsort(codes, kind="stable")
+    posts, cuts = np.repeat(np.arange(n), sizes)[order], np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(values)))))
+    marked = np.zeros(len(values), bool)
+    common, rest, flat, at = -1, None, None, None
+    changed = True
     todo = list(range(n if pivots is None else pivots))
     done = 0
     while todo:
-        roots = np.fromiter((groups.find(i) for i in range(n)), np.int64, n)
-        if (roots == roots[0]).all():
-            break
-        if pivots is None and done >= 4:
-            common = np.bincount(roots).argmax()
-            todo = [i for i in todo if roots[i] != common]
-            if not todo:
+        if changed:
+            changed = False
+            count = np.bincount(roots)
+            if count.max() == n:
                 break
+            top = int(count.argmax())
+            if pivots is None and done >= 4:
+                todo = [i for i in todo if roots[i] != top]
+                if not todo:
+                    break
+            if top != common or rest is None or 2 * (n - count[top]) <= len(rest):
+                # of the sets outside the largest component
+                common, rest = top, np.flatnonzero(roots != top)
+                flat = codes[np.repeat(roots != top, sizes)]
+                at = np.cumsum(sizes[rest]) - sizes[rest]
         p = todo.pop()
         done += 1
-        own = codes[starts[p] : starts[p] + sizes[p]]
-        marked[own] = 1
-        shared = np.add.reduceat(marked[codes], starts)
-        marked[own] = 0
-        for x in np.flatnonzero((den * shared >= num * (sizes + sizes[p] - shared)) & (roots != roots[p])):
-            groups.union(p, int(x))
+        own = codes[starts[p] : ends[p]]
+        if roots[p] == common and len(flat) < int((cuts[own + 1] - cuts[own]).sum()):
+            marked[own] = True
+            them, shared = rest, np.add.reduceat(marked[flat], at, dtype=np.int64)
+            marked[own] = False
+        else:
+            shared = np.bincount(np.concatenate([posts[a:b] for a, b in zip(cuts[own].tolist(), cuts[own + 1].tolist(), strict=True)]), minlength=n)
+            them = np.flatnonzero(shared)
+            shared = shared[them]
+        linked = them[(den * shared >= num * (sizes[them] + sizes[p] - shared)) & (roots[them] != roots[p])]
+        if len(linked):
+            changed = True
+            for x in linked.tolist():
+                groups.union(p, x)
+            roots[np.isin(roots, np.append(roots[linked], roots[p]))] = groups.find(p)
     return groups
 
 
