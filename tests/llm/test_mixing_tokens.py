@@ -156,3 +156,31 @@ def test_mixing_with_clashing_columns(spark):
     out = mixed(df)
     assert out.columns == df.columns and out.count() > 0 and out.select(*names).distinct().count() == 1
     assert mix(df).count() == 60
+
+
+def test_a_shard_is_encoded_in_little_memory():
+    """A Python worker's part of an executor: twice this and the heap have to fit one (20 MB of words, most of them new)."""
+    import subprocess
+    import sys
+
+    code = """
+import ctypes, random
+import public_tokenizers, pyarrow as pa
+from photolake.llm.token_ids import Encoder, encoded
+pa.set_memory_pool(pa.system_memory_pool())
+def memory(key):
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith(key)) // 1024
+r = random.Random(1)
+words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9))) for _ in range(50_000)]
+texts = pa.array([" ".join(r.choices(words, k=1000)) for _ in range(2_900)])
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["doc_id", "text"])
+encode = Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+ctypes.CDLL(None).malloc_trim(0)
+before = memory("VmRSS")
+n = sum(out.num_rows for out in encoded(iter([batch]), encode, 0))
+print(n, memory("VmHWM") - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True)
+    n, used = map(int, done.stdout.split())
+    assert n == 2900
+    assert used < 140
