@@ -73,7 +73,8 @@ def signatures(docs: DataFrame, width: int = 3, threshold: float = 0.85, bands:
 def link_sets(sets: list[np.ndarray], num: int, den: int, labels: list[int] | None = None, pivots: int | None = None) -> UnionFind:
     """Union-find of the sets with den * |a & b| >= num * |a | b|, by exact counts.
 
-    One pivot at a time is held against all sets at once that aren't linked with it yet; when it's done it has no pair left.
+    One pivot at a time is held against all sets at once that aren't linked with it yet and share one of its rarest values, as a linked
+    one must (a prefix filter, exact); when it's done it has no pair left.
     Only pivots outside the largest component are needed, so dense groups end after a few.
     With ``pivots`` only the first so many sets are pivots; ``labels`` says what is linked already.
     """
@@ -85,14 +86,21 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, labels: list[int] | No
             groups.union(first.setdefault(x, i), i)
     roots = np.fromiter((groups.find(i) for i in range(n)), np.int64, n)
     sizes = np.array([len(s) for s in sets], np.int64)
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    # the sets that have each value
-    order = np.argsort(codes, kind="stable")
-    posts, cuts = np.repeat(np.arange(n), sizes)[order], np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(values)))))
-    marked = np.zeros(len(values), bool)
-    common, rest, flat, at = -1, None, None, None
+    starts = np.cumsum(sizes) - sizes
+    # numbers of the values by how many sets have them, each set's rarest first
+    _, codes, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.empty(len(times), np.int64)
+    number[np.argsort(times, kind="stable")] = np.arange(len(times))
+    kinds = max(len(times), 1)
+    codes = np.sort(np.repeat(np.arange(n) * kinds, sizes) + number[codes]) % kinds
+    # linked sets share one of these: of a set, all values but as many as a link needs, and one more
+    leads = np.where(sizes > 0, sizes + 1 + -num * sizes // den, 0)
+    lead = np.arange(len(codes)) - np.repeat(starts, sizes) < np.repeat(leads, sizes)
+    posts, listed = np.repeat(np.arange(n), sizes)[lead], codes[lead]
+    order = np.argsort(listed, kind="stable")
+    posts, cuts = posts[order], np.searchsorted(listed[order], np.arange(kinds + 1))
+    marked = np.zeros(kinds, bool)
+    met = np.zeros(n, bool)
     changed = True
     todo = list(range(n if pivots is None else pivots))
     done = 0
@@ -102,28 +110,26 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, labels: list[int] | No
             count = np.bincount(roots)
             if count.max() == n:
                 break
-            top = int(count.argmax())
             if pivots is None and done >= 4:
+                top = int(count.argmax())
                 todo = [i for i in todo if roots[i] != top]
                 if not todo:
                     break
-            if top != common or rest is None or 2 * (n - count[top]) <= len(rest):
-                # of the sets outside the largest component
-                common, rest = top, np.flatnonzero(roots != top)
-                flat = codes[np.repeat(roots != top, sizes)]
-                at = np.cumsum(sizes[rest]) - sizes[rest]
         p = todo.pop()
         done += 1
-        own = codes[starts[p] : ends[p]]
-        if roots[p] == common and len(flat) < int((cuts[own + 1] - cuts[own]).sum()):
-            marked[own] = True
-            them, shared = rest, np.add.reduceat(marked[flat], at, dtype=np.int64)
-            marked[own] = False
-        else:
-            shared = np.bincount(np.concatenate([posts[a:b] for a, b in zip(cuts[own].tolist(), cuts[own + 1].tolist(), strict=True)]), minlength=n)
-            them = np.flatnonzero(shared)
-            shared = shared[them]
-        linked = them[(den * shared >= num * (sizes[them] + sizes[p] - shared)) & (roots[them] != roots[p])]
+        for x in codes[starts[p] : starts[p] + leads[p]].tolist():
+            met[posts[cuts[x] : cuts[x + 1]]] = True
+        them = np.flatnonzero(met)
+        met[them] = False
+        them = them[(roots[them] != roots[p]) & (num * np.maximum(sizes[them], sizes[p]) <= den * np.minimum(sizes[them], sizes[p]))]
+        if not len(them):
+            continue
+        own, size = codes[starts[p] : starts[p] + sizes[p]], sizes[them]
+        at = np.cumsum(size) - size
+        marked[own] = True
+        shared = np.add.reduceat(marked[codes[np.arange(at[-1] + size[-1]) + np.repeat(starts[them] - at, size)]], at, dtype=np.int64)
+        marked[own] = False
+        linked = them[den * shared >= num * (size + sizes[p] - shared)]
         if len(linked):
             changed = True
             for x in linked.tolist():
@@ -132,6 +138,56 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, labels: list[int] | No
     return groups
 
 
+def link_across(pivots: list[np.ndarray], members: list[np.ndarray], num: int, den: int, labels: list[int]) -> UnionFind:
+    """Union-find of pivots, then members, with the links of a pivot and a member; ``labels`` says what is linked already.
+
+    A linked pivot has a member's value among its rarest, and values that no member has are the rarest of all: most pivots end there.
+    """
+    k, n = len(pivots), len(pivots) + len(members)
+    groups = UnionFind(n)
+    first: dict[int, int] = {}
+    for i, x in enumerate(labels):
+        groups.union(first.setdefault(x, i), i)
+    roots = np.fromiter((groups.find(i) for i in range(n)), np.int64, n)
+    sizes = np.array([len(s) for s in members], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    values, codes, times = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    if not len(values):
+        return groups
+    order = np.argsort(codes, kind="stable")
+    posts, cuts = np.repeat(np.arange(len(members)), sizes)[order], np.concatenate(([0], np.cumsum(times)))
+    flat = np.concatenate(pivots)
+    size = np.array([len(s) for s in pivots], np.int64)
+    place = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+    there = values[place] == flat
+    ends = np.cumsum(size)
+    # of a pivot, all values but as many as a link needs, and one more; those that no member has first
+    hits = np.diff(np.concatenate(([0], np.cumsum(there)))[np.concatenate(([0], ends))])
+    leads = size + 1 + -num * size // den - (size - hits)
+    marked = np.zeros(len(values), bool)
+    met = np.zeros(len(members), bool)
+    for p in np.flatnonzero((leads > 0) & (hits > 0)).tolist():
+        own = place[ends[p] - size[p] : ends[p]][there[ends[p] - size[p] : ends[p]]]
+        for x in own[np.argsort(times[own], kind="stable")[: leads[p]]].tolist():
+            met[posts[cuts[x] : cuts[x + 1]]] = True
+        them = np.flatnonzero(met)
+        met[them] = False
+        them = them[(roots[k + them] != roots[p]) & (num * np.maximum(sizes[them], size[p]) <= den * np.minimum(sizes[them], size[p]))]
+        if not len(them):
+            continue
+        each = sizes[them]
+        at = np.cumsum(each) - each
+        marked[own] = True
+        shared = np.add.reduceat(marked[codes[np.arange(at[-1] + each[-1]) + np.repeat(starts[them] - at, each)]], at, dtype=np.int64)
+        marked[own] = False
+        linked = k + them[den * shared >= num * (each + size[p] - shared)]
+        if len(linked):
+            for x in linked.tolist():
+                groups.union(p, x)
+            roots[np.isin(roots, np.append(roots[linked], roots[p]))] = groups.find(p)
+    return groups
+
+
 def word_sets(width: int):
     """How a batch's texts become sets: their word shingles."""
     return lambda batch: _sets(batch, width)
@@ -175,7 +231,8 @@ def _block_linker(make, num: int, den: int):
         first: dict[int, int] = {}
         for i, x in enumerate(labels):
             before.union(first.setdefault(x, i), i)
-        after = link_sets(sets, num, den, labels, pivots.num_rows)
+        # a pair of pivots is settled where one of them is a member
+        after = link_across(sets[: pivots.num_rows], sets[pivots.num_rows :], num, den, labels)
         edges = {(labels[before.find(i)], labels[after.find(i)]) for i in range(len(ids))}
         edges = [(a, b) for a, b in edges if a != b]
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
