@@ -23,13 +23,14 @@ Passages that repeat only inside a document don't count. Null ids come first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photolake.llm.common import hash_strings, mix, runs, shingle_hashes, small, split_words, stored, text_slices
+from photolake.llm.common import CACHED, hash_strings, mix, runs, shingle_hashes, small, split_words, stored, text_slices
 
 WIDTH = 5
 #: Shingles of the shortest passage: 50 words.
@@ -119,39 +120,60 @@ def compact_windows(g: np.ndarray, least: int = LEAST) -> list[tuple[int, int, i
     return out
 
 
-def _longest(starts: np.ndarray, back: np.ndarray, ends: np.ndarray, ahead: np.ndarray, least: int) -> tuple[int, int] | None:
-    """The farthest (start, end) steps whose gains add up to ``least`` or more."""
-    most = np.maximum.accumulate(ahead[::-1])[::-1]  # never rises
-    far = len(most) - 1 - np.searchsorted(most[::-1], least - back, side="left")
-    if not (far >= 0).any():
-        return None
-    k = int(np.argmax(np.where(far >= 0, starts + ends[np.maximum(far, 0)], -1)))
-    return int(starts[k]), int(ends[far[k]])
+def _longest(starts: np.ndarray, back: np.ndarray, ends: np.ndarray, most: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The farthest (start, end) steps whose gains add up to ``least`` or more. ``most``: the best gain from each end on, the last end first, so it never falls."""
+    far = len(most) - 1 - np.searchsorted(most, least - back, side="left")
+    k = int(np.where(far >= 0, starts + ends[far], -1).argmax())
+    return (int(starts[k]), int(ends[far[k]])) if far[k] >= 0 else None
 
 
-def _reaches(place: np.ndarray, at: int) -> list[tuple[int, int]]:
-    """Spans around ``at`` that start and end with a hit (a place from 0 on), longest first.
+def _reaches(place: np.ndarray, at: int) -> Iterator[tuple[int, int]]:
+    """Spans of ``LEAST`` or more around ``at`` that start and end with a hit (a place from 0 on), longest first.
 
     With n shared shingles and m others on both sides together the similarity is n / (n + m), so four shared ones make up for each
     other one. Places between hits count as the other side's; where shingles repeat or are moved that is not exact, so
     spans by own misses alone (four hits each, the least that 0.8 needs, and eight) and shorter ones are candidates too.
     """
-    ends, starts = np.flatnonzero(place[at:] >= 0), np.flatnonzero(place[: at + 1][::-1] >= 0)
-    if not len(ends) or not len(starts) or ends[0] or starts[0]:
-        return []
+    hit = place >= 0
+    if not hit[at]:
+        return
+    ends, starts = np.flatnonzero(hit[at:]), np.flatnonzero(hit[: at + 1][::-1])
     n, m = np.arange(1, len(ends) + 1), np.arange(len(starts))
+    after, before = ends + 1 - n, starts - m
+    kinds: list[tuple[np.ndarray, np.ndarray]] = []
+    heap: list[tuple] = []
+
+    def push(span: tuple[int, int] | None, kind: int, least: int) -> None:
+        if span is not None and span[0] + span[1] + 1 >= LEAST:
+            heappush(heap, (-span[0] - span[1], span, kind, least))
+
+    def more(kind: int, least: int) -> None:
+        push(_longest(starts, kinds[kind][0], ends, kinds[kind][1], least), kind, 4 * least + 3)
+
+    # none is longer than by own misses alone, which no other gain is above
+    own = n - 4 * after, m - 4 * before
+    kinds.append((own[1], np.maximum.accumulate(own[0][::-1])))
+    more(0, 0)
+    if not heap:
+        return
+    _, done, _, least = heappop(heap)
+    yield at - done[0], at + done[1]
     right, left = np.maximum.accumulate(place[at + ends]) - place[at] + 1, place[at] - np.minimum.accumulate(place[at - starts])
-    out = set()
-    for weight, both in ((4, True), (4, False), (8, False)):
-        ahead, back = n - weight * (ends + 1 - n), m - weight * (starts - m)
-        if both:
-            ahead, back = ahead - weight * np.maximum(right - n, 0), back - weight * np.maximum(left - m, 0)
-        out.add((int(starts[len(back) - 1 - int(back[::-1].argmax())]), int(ends[len(ahead) - 1 - int(ahead[::-1].argmax())])))
-        least = 0
-        while (span := _longest(starts, back, ends, ahead, least)) is not None and span[0] + span[1] + 1 >= LEAST:
-            out.add(span)
-            least = 4 * least + 3
-    return [(at - a, at + b) for a, b in sorted(out, key=lambda x: (-x[0] - x[1], x))]
+    both = own[0] - 4 * np.maximum(right - n, 0), own[1] - 4 * np.maximum(left - m, 0)
+    eight = n - 8 * after, m - 8 * before
+    for ahead, back in (own, both, eight):
+        push((int(starts[len(back) - 1 - int(back[::-1].argmax())]), int(ends[len(ahead) - 1 - int(ahead[::-1].argmax())])), -1, 0)
+    kinds += [(back, np.maximum.accumulate(ahead[::-1])) for ahead, back in (both, eight)]
+    more(0, least)
+    more(1, 0)
+    more(2, 0)
+    while heap:
+        _, span, kind, least = heappop(heap)
+        if kind >= 0:
+            more(kind, least)
+        if span != done:
+            yield at - span[0], at + span[1]
+            done = span
 
 
 Window = tuple[int, int, int]
@@ -199,95 +221,171 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _grown(x: np.ndarray, y: np.ndarray, mine: Window, theirs: Window, sure: bool = False) -> tuple[int, int, int, int] | None:
+def _before(x: np.ndarray) -> np.ndarray:
+    """Where the value of each entry stands last before it; -1: nowhere."""
+    order = np.argsort(x, kind="stable")
+    alike = np.flatnonzero(x[order[1:]] == x[order[:-1]])
+    before = np.full(len(x), -1)
+    before[order[alike + 1]] = order[alike]
+    return before
+
+
+class _Two:
+    """Two texts, sorted once: where shingles of x are in y, and where each stands before in its own text."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, before: np.ndarray | None = None):
+        self.x, self.y = x, y
+        self.before = _before(x) if before is None else before, _before(y)
+        self.repeats = [bool((b >= 0).any()) for b in self.before]
+        self.order = np.argsort(y, kind="stable")
+        values = y[self.order]
+        self.low = np.searchsorted(values, x)
+        first = self.order[np.minimum(self.low, len(y) - 1)]
+        self.found = y[first] == x
+        self.first = np.where(self.found, first, -1)
+        self.back = np.zeros(len(y), bool)
+        if self.repeats[1]:
+            self.high = np.searchsorted(values, x, side="right")
+            run = runs(values)
+            self.keyed = run * len(y) + self.order
+            seen = np.zeros(len(y), bool)
+            seen[self.low[self.found]] = True
+            self.back[self.order] = seen[run]
+        else:
+            self.back[first[self.found]] = True
+
+    def places(self, a: int, b: int, c: int, d: int, shift: int) -> np.ndarray:
+        """``_places`` of x from a to b in y from c to d."""
+        first = self.first[a:b]
+        place = np.where((first >= c) & (first < d), first - c, -1)
+        if self.repeats[1]:
+            lo, hi = self.low[a:b], self.high[a:b]
+            more = np.flatnonzero(hi - lo > 1)
+            if len(more):
+                lo, hi, want = lo[more], hi[more], np.clip(more + shift, 0, d - c - 1) + c
+                after = np.searchsorted(self.keyed, lo * len(self.y) + want)
+                low, high = self.order[np.maximum(after - 1, lo)], self.order[np.minimum(after, hi - 1)]
+                low, high = np.where((after > lo) & (low >= c), low, -FAR), np.where((after < hi) & (high < d), high, FAR)
+                near = np.where(want - low <= high - want, low, high)
+                place[more] = np.where(np.abs(near) < FAR, near - c, -1)
+        return place
+
+    def within(self, a: int, b: int, c: int, d: int) -> np.ndarray:
+        """Which of y from c to d are in x from a to b."""
+        return _within(self.y[c:d], np.sort(self.x[a:b]))
+
+
+def _grown(x: np.ndarray, y: np.ndarray, mine: Window, theirs: Window, sure: bool = False, two: "_Two | _Group | None" = None) -> tuple[int, int, int, int] | None:
     """The passage (x first, x last, y first, y last; shingles) around the pivots of two windows (c, l, r) whose exact similarity is enough."""
     (cx, lx, rx), (cy, ly, ry) = mine, theirs
     left, right = min(cx - lx, cy - ly), min(rx - cx, ry - cy)
     slack = _slack(left, right)
     at = min(cx - lx, left + slack)
-    own = x[cx - at : cx + min(rx - cx, right + slack) + 1]
-    start = cy - min(cy - ly, left + slack)
-    other = y[start : cy + min(ry - cy, right + slack) + 1]
-    if min(len(own), len(other)) < LEAST:
+    begin, start = cx - at, cy - min(cy - ly, left + slack)
+    end, stop = cx + min(rx - cx, right + slack) + 1, cy + min(ry - cy, right + slack) + 1
+    if min(end - begin, stop - start) < LEAST:
         return None
-    place = _places(own, other, cy - start - at)
+    if two is None:
+        two = _Two(x, y)
+    place = two.places(begin, end, start, stop, cy - start - at)
     hit = place >= 0
-    if not sure and not _may(hit, at, _within(other, np.sort(own)), cy - start):
+    if not sure and not _may(hit, at, two.within(begin, end, start, stop), cy - start):
         return None
     for a, b in _reaches(place, at):
-        inside = place[a : b + 1][hit[a : b + 1]]
-        if b - a + 1 < LEAST or not len(inside):
-            continue
-        c, d = int(inside.min()), int(inside.max())
+        inside = hit[a : b + 1]
+        there = place[a : b + 1][inside]
+        c, d = int(there.min()), int(there.max())
         if d - c + 1 < LEAST:
             continue
-        one, two = np.unique(own[a : b + 1]), np.unique(other[c : d + 1])
-        shared = len(np.intersect1d(one, two, assume_unique=True))
-        if DEN * shared >= NUM * (len(one) + len(two) - shared):
-            return cx - at + a, cx - at + b, start + c, start + d
+        one, other, shared = b - a + 1, d - c + 1, len(there)
+        if two.repeats[0]:  # sets count a shingle where it stands first
+            first = two.before[0][begin + a : begin + b + 1] < begin + a
+            one, shared = np.count_nonzero(first), np.count_nonzero(first & inside)
+        if two.repeats[1]:
+            other = np.count_nonzero(two.before[1][start + c : start + d + 1] < start + c)
+        if DEN * shared >= NUM * (one + other - shared):
+            return begin + a, begin + b, start + c, start + d
     return None
 
 
-def _reach(gain: np.ndarray, at: int) -> tuple[int, int] | None:
-    """The first and last place that a passage around ``at`` could have: spans of similarity 0.8 have no negative sum of ``_gains``."""
-    if gain[at] <= 0:
+def _reach(sums: np.ndarray, hit: np.ndarray, w: Window) -> tuple[int, int] | None:
+    """The first and last place that a passage around a window's pivot could have: spans of similarity 0.8 have no negative sum of ``_gains``."""
+    c, l, r = w  # noqa: E741
+    if not hit[c]:
         return None
-    sums = np.concatenate(([0], np.cumsum(gain)))
-    left, right = sums[at] - sums[: at + 1], sums[at + 1 :] - sums[at]
-    starts = np.flatnonzero((left + right.max() >= 0) & (gain[: at + 1] > 0))
-    ends = np.flatnonzero((right + left.max() >= 0) & (gain[at:] > 0))
-    if not len(starts) or not len(ends) or at + ends[-1] - starts[0] + 1 < LEAST:
-        return None
-    return int(starts[0]), at + int(ends[-1])
+    left, right = sums[c] - sums[l : c + 1], sums[c + 1 : r + 2] - sums[c]
+    starts = (left >= -right.max()) & hit[l : c + 1]
+    ends = (right >= -left.max()) & hit[c : r + 1]
+    first, last = l + int(starts.argmax()), r - int(ends[::-1].argmax())
+    return (first, last) if last - first + 1 >= LEAST else None
 
 
-def _gains(x: np.ndarray, hit: np.ndarray) -> np.ndarray:
+def _gains(hit: np.ndarray, before: np.ndarray) -> np.ndarray:
     """1 for each hit; -4 for each other shingle, of which 0.8 needs four hits, where it stands first."""
-    gain = np.where(hit, 1, -4)
-    other = np.flatnonzero(~hit)
-    if len(other):
-        first = np.zeros(len(other), bool)
-        first[np.unique(x[other], return_index=True)[1]] = True
-        gain[other[~first]] = 0
-    return gain
+    return np.where(hit, 1, np.where(before < 0, -4, 0))
 
 
-def confirmed(x: np.ndarray, y: np.ndarray, ties: list[tuple[int, list[Window], list[Window]]], ordered: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+def confirmed(x: np.ndarray, y: np.ndarray, ties: list[tuple[int, list[Window], list[Window]]], before: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """Confirmed passages of two documents.
 
     A tie is (pivot hash, windows of x, windows of y). Every window of one side is tried with all of the other, the longest first, but where
-    found passages cover all that both could add. ``ordered``: x, sorted.
+    found passages cover all that both could add. ``before``: ``_before`` of x.
     """
     found: list[tuple[int, int, int, int]] = []
     if not len(x) or not len(y):
         return found
-    gains = _gains(x, _within(x, np.sort(y))), _gains(y, _within(y, np.sort(x) if ordered is None else ordered))
+    both = _Two(x, y, before)
+    hits = both.found, both.back
+    sums = [np.concatenate(([0], np.cumsum(_gains(h, b)))) for h, b in zip(hits, both.before, strict=True)]
     covered = np.zeros(len(x), bool), np.zeros(len(y), bool)
     reached: list[dict[Window, tuple | None]] = [{}, {}]
+    spots = [np.flatnonzero(h) for h in hits]
+    ends: list[dict[Window, tuple[int, int]]] = []
+    for k, side in enumerate(spots):
+        some = list(dict.fromkeys(w for tie in ties for w in tie[1 + k] if hits[k][w[0]]))
+        low, high = np.searchsorted(side, [w[1] for w in some]), np.searchsorted(side, [w[2] for w in some], side="right") - 1
+        ends.append({w: z for w, *z in zip(some, side[low].tolist(), side[high].tolist(), strict=True) if z[1] - z[0] + 1 >= LEAST} if some else {})
+    # how many places before each one nothing covers
+    bare = [list(range(len(c) + 1)) for c in covered]
 
     def reach(side: int, w: Window) -> tuple | None:
-        """The first and last place of a window that count, and what is there."""
+        """The first and last place of a window that count."""
         if w not in reached[side]:
-            c, l, r = w  # noqa: E741
-            span = _reach(gains[side][l : r + 1], c - l)
-            reached[side][w] = span and (l + span[0], l + span[1], hash(((x, y)[side][l + span[0] : l + span[1] + 1].tobytes(), c - l - span[0])))
+            reached[side][w] = _reach(sums[side], hits[side], w)
         return reached[side][w]
 
+    def text(side: int, w: Window) -> tuple:
+        """What is there."""
+        first, last = reached[side][w]
+        return w[0] - first, (x, y)[side][first : last + 1].tobytes()
+
+    def done(one: tuple[int, int], two: tuple[int, int]) -> bool:
+        return bare[0][one[0]] == bare[0][one[1] + 1] and bare[1][two[0]] == bare[1][two[1] + 1]
+
     tried = set()
-    every = {(w, u) for _, own, theirs in ties for w in own for u in theirs}
+    whole: dict[tuple[int, int], tuple | None] = {}
+    every = {(w, u) for _, own, theirs in ties for w in own if w in ends[0] for u in theirs if u in ends[1]}
     for w, u in sorted(every, key=lambda p: (-min(p[0][2] - p[0][1], p[1][2] - p[1][1]), p)):
+        if done(ends[0][w], ends[1][u]):
+            continue
         one, two = reach(0, w), reach(1, u)
-        if one is None or two is None or (one[2], two[2]) in tried or (covered[0][one[0] : one[1] + 1].all() and covered[1][two[0] : two[1] + 1].all()):
+        if one is None or two is None or done(one, two):
+            continue
+        if tried and (text(0, w), text(1, u)) in tried:
             continue
-        passage = _grown(x, y, w, u, True)
+        passage = _grown(x, y, w, u, True, both)
         if passage is None:
-            tried.add((one[2], two[2]))
+            tried.add((text(0, w), text(1, u)))
             continue
-        for p in {passage, _grown(x, y, (w[0], 0, len(x) - 1), (u[0], 0, len(y) - 1), True) or passage}:
+        at = w[0], u[0]
+        if at not in whole:
+            whole[at] = _grown(x, y, (w[0], 0, len(x) - 1), (u[0], 0, len(y) - 1), True, both)
+        for p in {passage, whole[at] or passage}:
             found.append(p)
             covered[0][p[0] : p[1] + 1] = True
             covered[1][p[2] : p[3] + 1] = True
-    return found
+        bare = [np.concatenate(([0], np.cumsum(~c))).tolist() for c in covered]
+    return list(dict.fromkeys(found))
 
 
 Found = tuple[int, int, int, int, int, int]
@@ -307,16 +405,16 @@ class _Group:
         who = np.repeat(np.arange(len(windows)), sizes)
         starts = np.cumsum(sizes) - sizes
         self.starts, self.ends, self.at = starts, starts + sizes - 1, starts + np.array(pivots)
-        _, once = np.unique(who * kinds + codes, return_index=True)
-        first = np.zeros(len(codes), bool)
-        first[once] = True
+        before = _before(who * kinds + codes)
+        first = before < 0
+        self.before, self.repeats = (before, before), [not first.all()] * 2
+        self.slot = np.full(kinds, -1)
         place = np.arange(len(codes))
         n = len(windows)
         self.low, self.high = self.starts.copy(), self.ends.copy()
         inside = np.ones(len(codes), bool)
         while True:
-            each = np.unique((who * kinds + codes)[inside])
-            times = np.bincount(each % kinds, minlength=kinds)
+            times = np.bincount(codes[inside & (before < self.low[who])], minlength=kinds)
             hit = inside & (times[codes] > 1)
             sums = np.concatenate(([0], np.cumsum(np.where(hit, 1, np.where(first, -4, 0)))))
             bounds = np.stack((self.starts, self.at), 1).reshape(-1)
@@ -343,8 +441,24 @@ class _Group:
         """(c, l, r) in ``flat``, cut."""
         return int(self.at[i]), int(self.low[i]), int(self.high[i])
 
-    def grown(self, i: int, j: int) -> tuple[int, int, int, int] | None:
-        return _grown(self.flat, self.flat, self.window(i), self.window(j))
+    def places(self, a: int, b: int, c: int, d: int, shift: int) -> np.ndarray:
+        own, other = self.codes[a:b], self.codes[c:d]
+        if self.repeats[0] and (self.before[0][c:d] >= c).any():
+            return _places(own, other, shift)
+        self.slot[other] = np.arange(d - c)
+        place = self.slot[own]
+        self.slot[other] = -1
+        return place
+
+    def within(self, a: int, b: int, c: int, d: int) -> np.ndarray:
+        own = self.codes[a:b]
+        self.slot[own] = 1
+        hit = self.slot[self.codes[c:d]] > 0
+        self.slot[own] = -1
+        return hit
+
+    def grown(self, i: int, j: int, sure: bool) -> tuple[int, int, int, int] | None:
+        return _grown(self.flat, self.flat, self.window(i), self.window(j), sure, self)
 
 
 def settled(docs: list, windows: list[np.ndarray], pivots: list[int]) -> list[Found]:
@@ -359,11 +473,11 @@ def settled(docs: list, windows: list[np.ndarray], pivots: list[int]) -> list[Fo
     known: set[tuple[int, int]] = set()
     late, either = np.zeros(len(g.flat), bool), np.zeros(len(g.flat), bool)
 
-    def compare(i: int, j: int) -> bool:
+    def compare(i: int, j: int, sure: bool = False) -> bool:
         if docs[i] == docs[j] or (i, j) in known:
             return False
         known.add((i, j))
-        p = g.grown(i, j)
+        p = g.grown(i, j, sure)
         if p is None:
             return False
         late[p[0] : p[1] + 1] = True
@@ -385,44 +499,58 @@ def settled(docs: list, windows: list[np.ndarray], pivots: list[int]) -> list[Fo
     # for each shingle the windows that have it, and where, counted from the pivot; the nearest of several places
     m = len(rest)
     low, high = g.low[rest] - g.at[rest], g.high[rest] - g.at[rest]
-    own, whose, steps, spare = [], [], [], np.zeros(m, np.int64)
+    own, whose, steps, hits, spare = [], [], [], [], np.zeros(m, np.int64)
     for k, i in enumerate(rest):
         c, l, r = g.window(i)  # noqa: E741
-        at = np.flatnonzero(g.hit[l : r + 1]) + l
-        at = at[np.argsort(np.abs(at - c), kind="stable")]
-        codes, one = np.unique(g.codes[at], return_index=True)
+        hit = np.flatnonzero(g.hit[l : r + 1]) + l
+        codes, at = g.codes[hit], hit
+        which = np.arange(len(hit))
+        spare[k] = np.count_nonzero(g.before[0][l : r + 1] >= l)
+        if spare[k]:
+            near = np.argsort(np.abs(hit - c), kind="stable")
+            codes, one, back = np.unique(codes[near], return_index=True, return_inverse=True)
+            at, which[near] = hit[near][one], back
         own.append(codes)
-        steps.append(at[one] - c)
-        whose.append(np.full(len(one), k))
-        spare[k] = r - l + 1 - len(np.unique(g.codes[l : r + 1]))
+        steps.append(at - c)
+        whose.append(np.full(len(codes), k))
+        hits.append((hit, which))
     flat = np.concatenate(own)
     order = np.argsort(flat, kind="stable")
     posts, steps, cuts = np.concatenate(whose)[order], np.concatenate(steps)[order], np.searchsorted(flat[order], np.arange(g.kinds + 1))
+    # for each hit where the list of its shingle starts, and how many earlier windows are in it
+    entry = np.empty(len(flat), np.int64)
+    entry[order] = np.arange(len(flat))
+    at = 0
+    for k, (hit, which) in enumerate(hits):
+        begin = cuts[g.codes[hit]]
+        hits[k] = hit, begin, entry[at + which] - begin
+        at += len(own[k])
     # at 0.8 two sets of LEAST share 41; less, where shingles repeat
     need = np.maximum(1, -(-8 * (2 * LEAST) // 18) - spare)
 
     def gaps(i: int, covered: np.ndarray) -> tuple[int, int]:
         """The nearest places on both sides of the pivot that aren't covered."""
         c, l, r = g.window(i)  # noqa: E741
-        gap = np.flatnonzero(~covered[l : r + 1]) + l - c
-        before, after = gap[gap <= 0], gap[gap >= 0]
-        return int(before[-1]) if len(before) else -FAR, int(after[0]) if len(after) else FAR
+        before, after = covered[l : c + 1][::-1], covered[c : r + 1]
+        a, b = int(before.argmin()), int(after.argmin())
+        return -FAR if before[a] else -a, FAR if after[b] else b
 
     def partners(k: int) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
         """The earlier windows with which a passage could cover more; how far it could reach to both sides, in either."""
+        closed, fits = late_gap == (-FAR, FAR), (left_gap[:k] > -FAR) | (right_gap[:k] < FAR)
+        if closed and not fits.any():
+            return
         c, l, r = g.window(rest[k])  # noqa: E741
-        at = np.flatnonzero(g.hit[l : r + 1]) + l
-        lists = [(int(cuts[x]), int(cuts[x]) + int(np.searchsorted(posts[cuts[x] : cuts[x + 1]], k))) for x in g.codes[at].tolist()]
-        them = np.concatenate([posts[a:b] for a, b in lists])
+        at, begin, n = hits[k]
+        index = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        them = posts[index]
         shared = np.bincount(them, minlength=k)
-        fits = shared >= np.minimum(need[:k], need[k])
-        if late_gap == (-FAR, FAR):
-            fits &= (left_gap[:k] > -FAR) | (right_gap[:k] < FAR)
+        enough = shared >= np.minimum(need[:k], need[k])
+        fits = enough & fits if closed else enough
         able = np.flatnonzero(fits)
         if not len(able):
             return
-        where = np.concatenate([steps[a:b] for a, b in lists])
-        column = np.repeat(at - l, [b - a for a, b in lists])
+        where, column = steps[index], np.repeat(at - l, n)
         width = r - l + 1
         out = []
         for some in np.array_split(able, -(-len(able) * width // (1 << 22))):
@@ -464,7 +592,7 @@ def settled(docs: list, windows: list[np.ndarray], pivots: list[int]) -> list[Fo
                 break
         for h, (a, b, x, y) in partners(k) if k else ():
             if -a <= late_gap[0] or b >= late_gap[1] or -x <= left_gap[h] or y >= right_gap[h]:
-                if compare(i, rest[h]):
+                if compare(i, rest[h], True):
                     late_gap = gaps(i, late)
                     left_gap[h], right_gap[h] = gaps(rest[h], either)
                     if h in hubs:
@@ -545,23 +673,6 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of windows sorted by (v, doc_id, h, c): pairs of documents of a hash with few windows; windows of others, each as a pair with itself."""
     rest, out = None, []
 
-    def group(v: int, doc: list[tuple], places: list[Window], sketch: np.ndarray) -> None:
-        n = len(doc)
-        if n > FEW:
-            number = {d: k for k, d in enumerate(dict.fromkeys(doc))}
-            of = np.array([number[d] for d in doc])
-            # a window of a text that is there twice doesn't count
-            some = [k for k in range(n) if n > MANY or (_near(sketch, sketch[:, k : k + 1]) & (of != of[k])).any()]
-            out.extend({"doc_id": doc[k][0], "h": doc[k][1], "y_doc": doc[k][0], "y_h": doc[k][1], "lo": 0, "hi": 0, "tie": {"v": v, "own": [dict(zip("clr", places[k], strict=True))], "theirs": []}} for k in some)
-            return
-        pairs: dict[tuple, tuple[dict, dict]] = {}
-        for j in range(1, n):
-            for i in np.flatnonzero(_near(sketch[:, :j], sketch[:, j : j + 1])).tolist():
-                if doc[i] != doc[j]:
-                    one, two = pairs.setdefault((doc[j], doc[i]), ({}, {}))
-                    one[places[j]] = two[places[i]] = None
-        out.extend(_tie(v, (*x, list(one)), (*y, list(two))) for (x, y), (one, two) in pairs.items())
-
     def windows(table: pa.Table):
         v = table.column("v").to_numpy()
         start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
@@ -573,14 +684,32 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, size = start[size > 1], size[size > 1]
         if not len(start):
             return
-        take = np.concatenate([np.arange(a, a + n) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
-        some, sketch, v = table.take(pa.array(take)), sketch[:, take], v[take]
-        doc, h, c, l, r = (some.column(n).to_pylist() for n in ("doc_id", "h", "c", "l", "r"))  # noqa: E741
-        doc, places = list(zip(doc, h, strict=True)), list(zip(c, l, r, strict=True))
-        at = 0
-        for n in size.tolist():
-            group(int(v[at]), doc[at : at + n], places[at : at + n], sketch[:, at : at + n])
-            at += n
+        doc, h, c, l, r = (table.column(n).to_numpy() for n in ("doc_id", "h", "c", "l", "r"))  # noqa: E741
+        # all pairs of windows of hashes with few, the later window first
+        few = size <= FEW
+        of = [np.array(x) for x in zip(*((k, i, j) for j in range(FEW) for i in range(j) for k in range(j + 1, FEW + 1)), strict=True)]  # sizes, and pairs of these
+        at, i, j = (np.concatenate([np.add.outer(start[size == n], x[of[0] == n]).ravel() for n in range(2, FEW + 1)]) for x in (0 * of[0], of[1], of[2]))
+        keep = ((doc[i] != doc[j]) | (h[i] != h[j])) & _near(sketch[:, i], sketch[:, j])
+        at, i, j = at[keep], i[keep], j[keep]
+        pairs: dict[tuple, tuple[dict, dict]] = {}
+        places = [list(zip(c[k].tolist(), l[k].tolist(), r[k].tolist(), strict=True)) for k in (i, j)]
+        them = [list(zip(doc[k].tolist(), h[k].tolist(), strict=True)) for k in (i, j)]
+        for value, x, y, own, theirs in zip(v[at].tolist(), them[1], them[0], places[1], places[0], strict=True):
+            one, two = pairs.setdefault((value, x, y), ({}, {}))
+            one[own] = two[theirs] = None
+        for (value, x, y), (one, two) in pairs.items():
+            out.append(_tie(value, (*x, list(one)), (*y, list(two))))
+            if len(out) >= TIE_ROWS:
+                yield pa.RecordBatch.from_pylist(out, TIE)
+                out.clear()
+        for a, n in zip(start[~few].tolist(), size[~few].tolist(), strict=True):
+            # a window of a text that is there twice doesn't count
+            d, t, bits = doc[a : a + n], h[a : a + n], sketch[:, a : a + n]
+            step = max(1, CACHED // n)
+            some = [np.ones(n, bool)] if n > MANY else [(_near(bits[:, k : k + step, None], bits[:, None]) & ((d[k : k + step, None] != d) | (t[k : k + step, None] != t))).any(axis=1) for k in range(0, n, step)]
+            some = a + np.flatnonzero(np.concatenate(some))
+            for k, *w in zip(*(x[some].tolist() for x in (doc, h, c, l, r)), strict=True):
+                out.append({"doc_id": k, "h": w[0], "y_doc": k, "y_h": w[0], "lo": 0, "hi": 0, "tie": {"v": int(v[a]), "own": [dict(zip("clr", w[1:], strict=True))], "theirs": []}})
             if len(out) >= TIE_ROWS:
                 yield pa.RecordBatch.from_pylist(out, TIE)
                 out.clear()
@@ -619,7 +748,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which, n = own.indices.to_pylist(), len(own.dictionary)
             both = _shingled(pa.RecordBatch.from_arrays([pa.concat_arrays([own.dictionary, batch.column("y_text")])], names=["text"]))
             mine, theirs = both[:n], both[n:]
-            ordered = [np.sort(x) for x in mine]
+            before = [_before(x) for x in mine]
             out = []
             ids = {n: batch.column(n).to_pylist() for n in ("doc_id", "h", "y_doc", "y_h", "ties", "lo")}
             for i in range(batch.num_rows):
@@ -629,7 +758,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if x == y:
                     out.extend((*x, None, None, None, v, c, l, r, _packed(mine[which[i]][l : r + 1])) for v, places, _ in ties for c, l, r in places)  # noqa: E741
                     continue
-                for a, b, c, e in confirmed(mine[which[i]], theirs[i], ties, ordered[which[i]]):
+                for a, b, c, e in confirmed(mine[which[i]], theirs[i], ties, before[which[i]]):
                     out.append((*x, a, b + WIDTH - 1, True, None, None, None, None, None))
                     out.append((*y, s + c, s + e + WIDTH - 1, False, None, None, None, None, None))
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
