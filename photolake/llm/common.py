@@ -59,8 +59,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 
 def hash_strings(values: pa.Array) -> np.ndarray:
     """64-bit hashes of strings; call it on distinct values."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(v) for v in values.cast(pa.binary()).to_pylist()), np.uint64, len(values))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(values))
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -27,6 +27,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,6 @@ SHIFT = 16
 FEW = 8
 #: Windows of a hash from which on none is left out by its sketch: comparing these takes the square of their number.
 MANY = 4096
-#: Places that two windows with a passage share at least, a margin under 0.8 of ``LEAST``.
-SHARED = 30
 
 
 #: The value of repeated words, after all others.
@@ -100,29 +99,30 @@ def compact_windows(g: np.ndarray, least: int = LEAST) -> list[tuple[int, int, i
     Entries of ``LAST`` are one word repeated; where there's nothing else, one window is enough. So is one in a periodic text: a pivot that
     the same value stands before, by less than ``least``, with the same ``least`` entries after it, gets none.
     """
-    out, todo = [], [(0, len(g), -least)]
+    out, todo = [], [(0, len(g), -least)] if len(g) >= least else []
+    alike = bool((g == LAST).any())
     while todo:
         a, b, last = todo.pop()
-        if b - a >= least:
-            c = a + int(g[a:b].argmin())
-            if c - last < least and g[c] == g[last] and c + least <= b and (g[last : last + least] == g[c : c + least]).all():
-                step = c - last
-                other = g[c:b] != g[c - step : b - step]
-                end = c + int(other.argmax()) if other.any() else b
-                c += (end - least - c) // step * step  # the last such pivot of the period
-                todo.append((c + 1, b, c))
-                continue
+        c = a + int(g[a:b].argmin())
+        if c - last < least and g[c] == g[last] and c + least <= b and (g[last : last + least] == g[c : c + least]).all():
+            step = c - last
+            other = g[c:b] != g[c - step : b - step]
+            end = c + int(other.argmax()) if other.any() else b
+            c += (end - least - c) // step * step  # the last such pivot of the period
+        else:
             out.append((a, c, b - 1))
-            if g[c] == LAST:
+            if alike and g[c] == LAST:
                 continue
-            todo.append((a, c, -least))
+            if c - a >= least:
+                todo.append((a, c, -least))
+        if b - c > least:
             todo.append((c + 1, b, c))
     return out
 
 
 def _longest(starts: np.ndarray, back: np.ndarray, ends: np.ndarray, most: np.ndarray, least: int) -> tuple[int, int] | None:
     """The farthest (start, end) steps whose gains add up to ``least`` or more. ``most``: the best gain from each end on, the last end first, so it never falls."""
-    far = len(most) - 1 - np.searchsorted(most, least - back, side="left")
+    far = len(most) - 1 - most.searchsorted(least - back)
     k = int(np.where(far >= 0, starts + ends[far], -1).argmax())
     return (int(starts[k]), int(ends[far[k]])) if far[k] >= 0 else None
 
@@ -194,33 +194,6 @@ def _places(own: np.ndarray, other: np.ndarray, shift: int) -> np.ndarray:
     return np.where(hi > lo, place, -1)
 
 
-def _gain(hit: np.ndarray, at: int) -> float:
-    """The best of hits less eight times the misses in spans of ``LEAST`` or more around ``at``."""
-    gain = np.where(hit, 1, -8)
-    left, right = np.zeros(at + 1, np.int64), np.zeros(len(hit) - at, np.int64)
-    np.cumsum(gain[:at][::-1], out=left[1:])
-    np.cumsum(gain[at + 1 :], out=right[1:])
-    far = np.maximum.accumulate(right[::-1])[::-1]
-    first = max(LEAST - len(right), 0)
-    if first > at:
-        return -np.inf
-    return 1 + float((left[first:] + far[np.maximum(LEAST - 1 - np.arange(first, at + 1), 0)]).max())
-
-
-def _may(own: np.ndarray, at: int, other: np.ndarray, there: int) -> bool:
-    """Whether a passage around a shingle of both sides is possible, by the hits of each side.
-
-    Passages with s shared and m other shingles have s >= 4 m; as each side's hits are s or more, hits less eight times its misses, added
-    over both sides, aren't below zero.
-    """
-    return np.count_nonzero(own) >= SHARED and np.count_nonzero(other) >= SHARED and _gain(own, at) + _gain(other, there) >= 0
-
-
-def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted array."""
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
 def _before(x: np.ndarray) -> np.ndarray:
     """Where the value of each entry stands last before it; -1: nowhere."""
     order = np.argsort(x, kind="stable")
@@ -270,12 +243,8 @@ class _Two:
                 place[more] = np.where(np.abs(near) < FAR, near - c, -1)
         return place
 
-    def within(self, a: int, b: int, c: int, d: int) -> np.ndarray:
-        """Which of y from c to d are in x from a to b."""
-        return _within(self.y[c:d], np.sort(self.x[a:b]))
-
 
-def _grown(x: np.ndarray, y: np.ndarray, mine: Window, theirs: Window, sure: bool = False, two: "_Two | _Group | None" = None) -> tuple[int, int, int, int] | None:
+def _grown(x: np.ndarray, y: np.ndarray, mine: Window, theirs: Window, two: "_Two | _Group | None" = None) -> tuple[int, int, int, int] | None:
     """The passage (x first, x last, y first, y last; shingles) around the pivots of two windows (c, l, r) whose exact similarity is enough."""
     (cx, lx, rx), (cy, ly, ry) = mine, theirs
     left, right = min(cx - lx, cy - ly), min(rx - cx, ry - cy)
@@ -289,8 +258,6 @@ def _grown(x: np.ndarray, y: np.ndarray, mine: Window, theirs: Window, sure: boo
         two = _Two(x, y)
     place = two.places(begin, end, start, stop, cy - start - at)
     hit = place >= 0
-    if not sure and not _may(hit, at, two.within(begin, end, start, stop), cy - start):
-        return None
     for a, b in _reaches(place, at):
         inside = hit[a : b + 1]
         there = place[a : b + 1][inside]
@@ -373,13 +340,13 @@ def confirmed(x: np.ndarray, y: np.ndarray, ties: list[tuple[int, list[Window],
             continue
         if tried and (text(0, w), text(1, u)) in tried:
             continue
-        passage = _grown(x, y, w, u, True, both)
+        passage = _grown(x, y, w, u, both)
         if passage is None:
             tried.add((text(0, w), text(1, u)))
             continue
         at = w[0], u[0]
         if at not in whole:
-            whole[at] = _grown(x, y, (w[0], 0, len(x) - 1), (u[0], 0, len(y) - 1), True, both)
+            whole[at] = _grown(x, y, (w[0], 0, len(x) - 1), (u[0], 0, len(y) - 1), both)
         for p in {passage, whole[at] or passage}:
             found.append(p)
             covered[0][p[0] : p[1] + 1] = True
@@ -450,15 +417,8 @@ class _Group:
         self.slot[other] = -1
         return place
 
-    def within(self, a: int, b: int, c: int, d: int) -> np.ndarray:
-        own = self.codes[a:b]
-        self.slot[own] = 1
-        hit = self.slot[self.codes[c:d]] > 0
-        self.slot[own] = -1
-        return hit
-
-    def grown(self, i: int, j: int, sure: bool) -> tuple[int, int, int, int] | None:
-        return _grown(self.flat, self.flat, self.window(i), self.window(j), sure, self)
+    def grown(self, i: int, j: int) -> tuple[int, int, int, int] | None:
+        return _grown(self.flat, self.flat, self.window(i), self.window(j), self)
 
 
 def settled(docs: list, windows: list[np.ndarray], pivots: list[int]) -> list[Found]:
@@ -473,11 +433,11 @@ def settled(docs: list, windows: list[np.ndarray], pivots: list[int]) -> list[Fo
     known: set[tuple[int, int]] = set()
     late, either = np.zeros(len(g.flat), bool), np.zeros(len(g.flat), bool)
 
-    def compare(i: int, j: int, sure: bool = False) -> bool:
+    def compare(i: int, j: int) -> bool:
         if docs[i] == docs[j] or (i, j) in known:
             return False
         known.add((i, j))
-        p = g.grown(i, j, sure)
+        p = g.grown(i, j)
         if p is None:
             return False
         late[p[0] : p[1] + 1] = True
@@ -592,7 +552,7 @@ def settled(docs: list, windows: list[np.ndarray], pivots: list[int]) -> list[Fo
                 break
         for h, (a, b, x, y) in partners(k) if k else ():
             if -a <= late_gap[0] or b >= late_gap[1] or -x <= left_gap[h] or y >= right_gap[h]:
-                if compare(i, rest[h], True):
+                if compare(i, rest[h]):
                     late_gap = gaps(i, late)
                     left_gap[h], right_gap[h] = gaps(rest[h], either)
                     if h in hubs:
@@ -731,9 +691,32 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, TIE)
 
 
-def _packed(shingles: np.ndarray) -> bytes:
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted, disjoint spans of the same words."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], last)
+        else:
+            out.append((first, last))
+    return out
+
+
+def _packed(shingles: np.ndarray) -> np.ndarray:
     """32 bits of each shingle; what two windows share by chance is one shingle in 10^5 pairs."""
-    return (shingles >> np.uint64(32)).astype(np.uint32).tobytes()
+    return (shingles >> np.uint64(32)).astype(np.uint32)
+
+
+def _unpacked(ties: pa.ListArray) -> list[list[tuple[int, list[Window], list[Window]]]]:
+    """Ties of each row: (v, windows of one text, windows of the other)."""
+
+    def cut(lists: pa.ListArray, values: list) -> list[list]:
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+        return [values[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    v, *sides = ties.flatten().flatten()
+    windows = [cut(x, list(zip(*(y.to_pylist() for y in x.flatten().flatten()), strict=True))) for x in sides]
+    return cut(ties, list(zip(v.to_pylist(), *windows, strict=True)))
 
 
 VERIFIED = "doc_id long, h long, first int, last int, later boolean, v long, c int, l int, r int, shingles binary"
@@ -749,18 +732,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = _shingled(pa.RecordBatch.from_arrays([pa.concat_arrays([own.dictionary, batch.column("y_text")])], names=["text"]))
             mine, theirs = both[:n], both[n:]
             before = [_before(x) for x in mine]
+            packed: dict[int, np.ndarray] = {}
+            spans: dict[tuple, list[tuple[int, int]]] = {}
+            every = _unpacked(batch.column("ties"))
             out = []
-            ids = {n: batch.column(n).to_pylist() for n in ("doc_id", "h", "y_doc", "y_h", "ties", "lo")}
+            ids = {n: batch.column(n).to_pylist() for n in ("doc_id", "h", "y_doc", "y_h", "lo")}
             for i in range(batch.num_rows):
                 s, x, y = ids["lo"][i], (ids["doc_id"][i], ids["h"][i]), (ids["y_doc"][i], ids["y_h"][i])
-                end = len(theirs[i]) - 1
-                ties = [(t["v"], [(w["c"], w["l"], w["r"]) for w in t["own"]], [(w["c"] - s, max(w["l"] - s, 0), min(w["r"] - s, end)) for w in t["theirs"]]) for t in ids["ties"][i]]
                 if x == y:
-                    out.extend((*x, None, None, None, v, c, l, r, _packed(mine[which[i]][l : r + 1])) for v, places, _ in ties for c, l, r in places)  # noqa: E741
+                    text = packed.get(which[i])
+                    if text is None:
+                        text = packed[which[i]] = _packed(mine[which[i]])
+                    out.extend((*x, None, None, None, v, c, l, r, text[l : r + 1].tobytes()) for v, places, _ in every[i] for c, l, r in places)  # noqa: E741
                     continue
+                end = len(theirs[i]) - 1
+                ties = [(v, own, [(c - s, max(l - s, 0), min(r - s, end)) for c, l, r in other]) for v, own, other in every[i]]  # noqa: E741
                 for a, b, c, e in confirmed(mine[which[i]], theirs[i], ties, before[which[i]]):
-                    out.append((*x, a, b + WIDTH - 1, True, None, None, None, None, None))
-                    out.append((*y, s + c, s + e + WIDTH - 1, False, None, None, None, None, None))
+                    spans.setdefault((*x, True), []).append((a, b + WIDTH - 1))
+                    spans.setdefault((*y, False), []).append((s + c, s + e + WIDTH - 1))
+            out.extend((d, h, *span, later, None, None, None, None, None) for (d, h, later), some in spans.items() for span in _joined(some))
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names=["doc_id", "h", "first", "last", "later", "v", "c", "l", "r", "shingles"])
 
@@ -779,7 +769,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return []
         found = settled(docs, [np.frombuffer(w[5], np.uint32) for w in group], [w[2] - w[3] for w in group])
         at = [w[3] for w in group]
-        return [x for i, a, b, j, c, d in found for x in ((*docs[i], at[i] + a, at[i] + b + WIDTH - 1, True), (*docs[j], at[j] + c, at[j] + d + WIDTH - 1, False))]
+        spans: dict[tuple, list] = {}
+        for i, a, b, j, c, d in found:
+            spans.setdefault((*docs[i], True), []).append((at[i] + a, at[i] + b + WIDTH - 1))
+            spans.setdefault((*docs[j], False), []).append((at[j] + c, at[j] + d + WIDTH - 1))
+        # a later one counts among all
+        return [(d, h, *span, later) for (d, h, later), some in spans.items() for span in _joined(some)]
 
     def told(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names=names)
